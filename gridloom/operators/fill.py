@@ -68,14 +68,14 @@ def assign_clusters(df: DataFrame, prototypes: list[dict], numeric: list[str], c
 
 
 def fill_levels(df: DataFrame, row: str, target: str, levels: list[tuple[str, list[str]]], how: str) -> DataFrame:
-    """Fill nulls of ``target`` level by level and add ``<target>_filled`` (the level's name, null where observed).
+    """(row, value, level) of each row that lacks ``target``, filled from the first level that has a value for it.
 
-    Each level is (name, group columns); an empty list of columns means all rows. Only the rows that lack the value are joined to
-    the groups' medians or modes, which are aggregated over all rows that have it; the rest bypass the joins.
+    Each level is (name, group columns); an empty list of columns means all rows. Medians or modes are aggregated over all rows that
+    have the value, with partial aggregation, so a hot group is no single task's work; only the rows that lack it are joined to them.
     """
-    mark = f"{target}_filled"
-    have, lack = df.filter(F.col(target).isNotNull()), df.filter(F.col(target).isNull()).drop(target)
-    cols = df.columns
+    have, lack = df.filter(F.col(target).isNotNull()), df.filter(F.col(target).isNull())
+    lack = lack.select(row, *sorted({c for _, by in levels for c in by}))
+    kind = dict(df.dtypes)[target]
     names = []
     for i, (_, by) in enumerate(levels):
         got = f"_g{i}"
@@ -86,14 +86,16 @@ def fill_levels(df: DataFrame, row: str, target: str, levels: list[tuple[str, li
         else:
             counts = known.groupBy(*by, target).agg(F.count("*").alias("_n"))
             agg = counts.groupBy(*by).agg(F.min_by(target, F.struct(-F.col("_n"), F.col(target))).alias(got))
-        if by:
-            # Salted rows would be needed only for groups with very many gaps; the aggregated side is small, so AQE splits those.
-            lack = lack.join(agg, by, "left")
-        else:
-            lack = lack.withColumn(got, F.lit(agg.head()[0]))
-    filled = lack.withColumn(target, F.coalesce(*names)) if names else lack.withColumn(target, F.lit(None))
+        # Over all rows the aggregate is one value, else one row per group; AQE splits a group with very many gaps.
+        lack = lack.join(agg, by, "left") if by else lack.withColumn(got, F.lit(agg.head()[0]).cast(kind))
     level = F.lit("none")
     for got, (name, _) in reversed(list(zip(names, levels))):
         level = F.when(F.col(got).isNotNull(), name).otherwise(level)
-    filled = filled.withColumn(mark, level).select(*cols, mark)
-    return have.withColumn(mark, F.lit(None).cast("string")).select(*cols, mark).unionByName(filled)
+    return lack.select(row, (F.coalesce(*names) if names else F.lit(None).cast(kind)).alias("value"), level.alias("level"))
+
+
+def with_fills(df: DataFrame, row: str, fills: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with the fills of each target in place and ``<target>_filled`` telling their level (null: observed)."""
+    for target, got in fills.items():
+        df = df.join(got.select(row, F.col("value").alias("_v"), F.col("level").alias(f"{target}_filled")), row, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
+    return df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems
+from gridloom.plans import curation, matrix, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **curation.R.queries, **matrix.R.queries}
+ORACLES = {**problems.ORACLES, **curation.R.oracles, **matrix.R.oracles}

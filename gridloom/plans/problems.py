@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.values import recorded_day, states_value
+from gridloom.functions.values import PLACEHOLDERS, states_value
 from gridloom.operators import fill, orphans, units, wide
 from gridloom.runtime import cut, table
 
@@ -59,35 +59,47 @@ _NUMERIC = ["z_score", "z_year", "z_size"]
 _CATEGORICAL = ["metric_key", "language_", "model_type_", "source_type_"]
 
 
-def p2_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Every results row: row_id, score_common, model_name and benchmark_id with fills, and for each the level it was filled from
-    (null: observed). Levels go from the row's cluster within its metric and benchmark, or its model, to the whole table."""
+_LEVELS = {
+    "score_common": ("median", [("cluster, metric, benchmark", ["cluster", "metric_key", "benchmark_id"]), ("metric, benchmark", ["metric_key", "benchmark_id"]), ("metric", ["metric_key"]), ("all", [])]),
+    "model_name": ("mode", [("model_id", ["known_id"]), ("cluster, family", ["cluster", "family"]), ("cluster", ["cluster"]), ("all", [])]),
+    "benchmark_id": ("mode", [("benchmark_name", ["known_name"]), ("cluster, metric", ["cluster", "metric_key"]), ("cluster", ["cluster"]), ("all", [])]),
+}
+
+
+def _fills(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     stated = lambda c: F.when(states_value(F.col(c)), F.col(c))
     raw = table(spark, d, "results")
     rows = raw.select(
-        "row_id", *SCORE_COLUMNS, "model_name", "benchmark_id", stated("model_id").alias("known_id"), stated("benchmark_name").alias("known_name"), stated("model_family").alias("family"),
-        F.col("year_evaluated").try_cast("double").alias("year"), F.col("model_size").try_cast("double").alias("size"), *[stated(c).alias(f"{c}_") for c in ("language", "model_type", "source_type")],
+        "row_id", *SCORE_COLUMNS, stated("model_name").alias("model_name"), stated("benchmark_id").alias("benchmark_id"), stated("model_id").alias("known_id"), stated("benchmark_name").alias("known_name"),
+        stated("model_family").alias("family"), F.col("year_evaluated").try_cast("double").alias("year"), F.col("model_size").try_cast("double").alias("size"), *[stated(c).alias(f"{c}_") for c in ("language", "model_type", "source_type")],
     )
     read = units.read_scores(rows, _catalog(spark, d))
-    # Unlike numbers are made alike by magnitude: the log keeps a fraction and a percentage apart but finite.
     x = F.when(F.col("score_states"), F.col("score_num") * F.coalesce("factor", F.lit(1.0)))
     base = read.select(
-        "row_id", x.alias("score_common"), F.when(states_value(F.col("model_name")), F.col("model_name")).alias("model_name"), F.when(states_value(F.col("benchmark_id")), F.col("benchmark_id")).alias("benchmark_id"),
-        "metric_key", "known_id", "known_name", "family", "language_", "model_type_", "source_type_", ((F.col("year") - 2024) / 1.5).alias("z_year"), (F.log1p("size") / 2).alias("z_size"), (F.signum(x) * F.log1p(F.abs(x)) / 2).alias("z_score"),
+        "row_id", x.alias("score_common"), "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family", "language_", "model_type_", "source_type_",
+        ((F.col("year") - 2024) / 1.5).alias("z_year"), (F.log1p("size") / 2).alias("z_size"), (F.signum(x) * F.log1p(F.abs(x)) / 2).alias("z_score"),
     )
     base = cut(base, "p2-features")
     prototypes = fill.k_prototypes(base, _NUMERIC, _CATEGORICAL)
-    rows = fill.assign_clusters(base, prototypes, _NUMERIC, _CATEGORICAL)
-    rows = fill.fill_levels(rows, "row_id", "score_common", [("cluster, metric, benchmark", ["cluster", "metric_key", "benchmark_id"]), ("metric, benchmark", ["metric_key", "benchmark_id"]), ("metric", ["metric_key"]), ("all", [])], "median")
-    rows = fill.fill_levels(rows, "row_id", "model_name", [("model_id", ["known_id"]), ("cluster, family", ["cluster", "family"]), ("cluster", ["cluster"]), ("all", [])], "mode")
-    rows = fill.fill_levels(rows, "row_id", "benchmark_id", [("benchmark_name", ["known_name"]), ("cluster, metric", ["cluster", "metric_key"]), ("cluster", ["cluster"]), ("all", [])], "mode")
-    return rows.select("row_id", "score_common", "score_common_filled", "model_name", "model_name_filled", "benchmark_id", "benchmark_id_filled")
+    rows = cut(fill.assign_clusters(base, prototypes, _NUMERIC, _CATEGORICAL).select("row_id", "cluster", "score_common", "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family"), "p2-clusters")
+    # Each target's fills are written before the next is planned, which keeps every plan small.
+    return rows, {t: cut(fill.fill_levels(rows, "row_id", t, levels, how), f"p2-{t}") for t, (how, levels) in _LEVELS.items()}
+
+
+def p2_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Every results row: row_id, score_common, model_name and benchmark_id with fills, and for each the level it was filled from
+    (null: observed). Levels go from the row's cluster within its metric and benchmark, or its model, to the whole table."""
+    rows, fills = _fills(spark, d)
+    out = fill.with_fills(rows.select("row_id", *_LEVELS), "row_id", fills)
+    return out.select("row_id", *[c for t in _LEVELS for c in (t, f"{t}_filled")])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """The fields that p2_filled marks as filled: row_id, field_name."""
-    marks = F.array(*[F.when(F.col(f"{c}_filled").isNotNull() & F.coalesce(F.col(c).isNotNull() | (F.col(f"{c}_filled") == "none"), F.lit(True)), F.lit(n)) for c, n in (("score_common", "score"), ("model_name", "model_name"), ("benchmark_id", "benchmark_id"))])
-    return p2_filled(spark, d).select("row_id", F.explode(F.array_compact(marks)).alias("field_name"))
+    """The fields that were filled, or that nothing could fill: row_id, field_name."""
+    _, fills = _fills(spark, d)
+    named = {"score_common": "score", "model_name": "model_name", "benchmark_id": "benchmark_id"}
+    found = [f.select("row_id", F.lit(named[t]).alias("field_name")) for t, f in fills.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # -- 3 ------------------------------------------------------------------------------------------------------------------------
@@ -130,3 +142,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p2_found, p2_filled, p3_found, p3_report, p6_found, p6_converted)}
+
+_BLANK = "regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')"
+_STATED = (
+    "(r.v is not null and regexp_matches(r.v, '[\\p{L}\\p{N}]') and trim(" + _BLANK.format("r.v") + ") not in ("
+    + ", ".join(f"'{p}'" for p in PLACEHOLDERS if p) + ") and not regexp_matches(r.v, '^\\s*-?(1|9{2,})(\\.0+)?\\s*$') and not regexp_matches(lower(r.v), '^\\s*(see table|tba|tbd|err:?)\\s+\\w+\\s*$'))"
+)
+
+_P3 = f"""with refs as (select row_id, 'models' as ref_table, model_name as v, loaded_at as t from results union all select row_id, 'benchmarks', benchmark_id, loaded_at from results),
+log as (select table_name, key_value, logged_at, max_by(action, log_id) as action from registry_log where key_value is not null and logged_at is not null group by 1, 2, 3)
+select r.row_id, r.ref_table/*more*/ from refs r asof left join log l on r.ref_table = l.table_name and r.v = l.key_value and r.t >= l.logged_at where {_STATED} and coalesce(l.action, '') <> 'added'"""
+
+ORACLES = {
+    "p3_found": _P3,
+    "p3_report": f"select ref_table, strftime(t, '%Y-%m') as month, count(*) as orphans, count(distinct v) as keys from ({_P3.replace('/*more*/', ', r.v, r.t')}) group by 1, 2",
+}
