@@ -80,7 +80,7 @@ def _parse(df: DataFrame, column: str) -> DataFrame:
     def parse(names: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_name(n) for n in names], columns=["words", "version", "size", "none"])
 
-    return df.withColumn("_p", parse(column)).select(*df.columns, "_p.*")
+    return df.withColumn("__gl_p", parse(column)).select(*df.columns, "__gl_p.*")
 
 
 def _variants(word: str, edits: int) -> list[str]:

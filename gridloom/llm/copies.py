@@ -118,10 +118,10 @@ def copy_groups(df: DataFrame, row: str, same: list[str], alike: list[str]) -> D
     kinds = dict(df.dtypes)
     text = lambda c: F.col(f"`{c}`") if kinds[c] == "string" else F.col(f"`{c}`").cast("string")
     canon = [canonical(text(c)) for c in alike]
-    hashed = df.select(F.col(row), *same, *[c.alias(f"_c{i}") for i, c in enumerate(canon)])
-    cols = [*same, *[f"_c{i}" for i in range(len(alike))]]
-    hashed = hashed.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
-    hits = possible_repeats(hashed, "_h", df.count())
+    hashed = df.select(F.col(row), *[f"`{c}`" for c in same], *[c.alias(f"__gl_c{i}") for i, c in enumerate(canon)])
+    cols = [*same, *[f"__gl_c{i}" for i in range(len(alike))]]
+    hashed = hashed.withColumn("__gl_h", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    hits = possible_repeats(hashed, "__gl_h", df.count())
     # Lengths keep neighbouring values apart and tell null from empty.
     held = [F.col(f"`{c}`").cast("string") for c in cols]
     packed = F.concat_ws("|", *[F.when(t.isNull(), "-").otherwise(F.concat_ws(":", F.length(t), t)) for t in held])

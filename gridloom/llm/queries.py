@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.values import recorded_day, states_value, url_host
 from gridloom.llm import bpe, canonical, copies, golden, packing, quality
+from gridloom import schema
 from gridloom.operators import units
 from gridloom.runtime import cut, small_collect, table
 
@@ -116,4 +117,21 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_golden, p5_found, p7_found, p7_records, p8_ids, p9_packed, p9_filling, p10_found, p10_quality)}
-ORACLES: dict[str, str] = {}
+
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000"
+_NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ").replace("'", "''")
+_PARTS = r"\p{Nd}+(?:[.,]\p{Nd}+)*|[\p{L}\p{M}]+|[+%‰]|[^\p{L}\p{M}\p{Nd}\p{P}\p{Z}\p{C}|~^`<>=$]"
+
+
+def _form(c: str) -> str:
+    narrow = f"regexp_replace(lower(translate({c}, '{_WIDE}', '{_NARROW}')), '\\p{{Cf}}+', '', 'g')"
+    return f"array_to_string(list_sort(regexp_extract_all({narrow}, '{_PARTS}')), ' ')"
+
+
+_RESULT_COLUMNS = [c for c in schema.RESULT_COLUMNS if c not in _ALIKE]
+_KEYED = f"select row_id, md5(concat_ws('|', {', '.join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in [*_RESULT_COLUMNS, *map(_form, _ALIKE)])})) as k from results"
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"with t as materialized ({_KEYED}) select a.row_id as row_id_a, b.row_id as row_id_b from t a join t b on a.k = b.k and a.row_id < b.row_id",
+    "p7_records": f"select min(row_id) as row_id, count(*) as copies from ({_KEYED}) group by k",
+}
