@@ -78,14 +78,14 @@ def fill_levels(df: DataFrame, row: str, target: str, levels: list[tuple[str, li
     kind = dict(df.dtypes)[target]
     names = []
     for i, (_, by) in enumerate(levels):
-        got = f"_g{i}"
+        got = f"__gl_g{i}"
         names.append(got)
         known = have.filter(" and ".join(f"`{c}` is not null" for c in by)) if by else have
         if how == "median":
             agg = known.groupBy(*by).agg(F.percentile_approx(target, 0.5, MEDIAN_ACCURACY).alias(got))
         else:
-            counts = known.groupBy(*by, target).agg(F.count("*").alias("_n"))
-            agg = counts.groupBy(*by).agg(F.min_by(target, F.struct(-F.col("_n"), F.col(target))).alias(got))
+            counts = known.groupBy(*by, target).agg(F.count("*").alias("__gl_n"))
+            agg = counts.groupBy(*by).agg(F.min_by(target, F.struct(-F.col("__gl_n"), F.col(target))).alias(got))
         # Over all rows the aggregate is one value, else one row per group; AQE splits a group with very many gaps.
         lack = lack.join(agg, by, "left") if by else lack.withColumn(got, F.lit(agg.head()[0]).cast(kind))
     level = F.lit("none")
@@ -97,5 +97,5 @@ def fill_levels(df: DataFrame, row: str, target: str, levels: list[tuple[str, li
 def with_fills(df: DataFrame, row: str, fills: dict[str, DataFrame]) -> DataFrame:
     """``df`` with the fills of each target in place and ``<target>_filled`` telling their level (null: observed)."""
     for target, got in fills.items():
-        df = df.join(got.select(row, F.col("value").alias("_v"), F.col("level").alias(f"{target}_filled")), row, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
+        df = df.join(got.select(row, F.col("value").alias("__gl_v"), F.col("level").alias(f"{target}_filled")), row, "left").withColumn(target, F.coalesce(target, "__gl_v")).drop("__gl_v")
     return df

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 def integer_runs(keys: DataFrame, key: str, block: int = 1 << 20) -> DataFrame:
     """Sorted distinct integers as contiguous runs (run_start, run_end), without a global sort in one task.
 
-    Runs are found within blocks of the key space, and runs that touch over a block's edge are joined by a second pass over the
-    runs alone, which again goes by blocks: a run that fills whole blocks is cut at most once per block.
+    Runs are found within blocks of the key space, so a run over a block's edge comes as one run per block; to match references to
+    their preceding run start, these are as good as one.
     """
     k = F.col(key).cast("long")
     uniq = keys.select(k.alias("k")).filter("k is not null").distinct().withColumn("b", F.floor(F.col("k") / block))
@@ -45,27 +45,27 @@ def orphan_references(refs: DataFrame, runs: DataFrame, keys: list[str], at: str
     run's end. Slices also split a hot key; what is left of its skew AQE splits on the references' side.
     """
     slot = lambda c: F.floor(F.col(c) / slice_width)
-    r = refs.withColumn("_slot", slot(at))
-    starts = runs.withColumn("_slot", slot("run_start")).withColumn("_run", F.struct("run_start", "run_end"))
-    own = starts.groupBy(*keys, "_slot").agg(F.sort_array(F.collect_list("_run")).alias("_own"), F.max("_run").alias("_last"))
-    wanted = r.select(*keys, "_slot").distinct().withColumn("_want", F.lit(True))
-    both = own.join(wanted, [*keys, "_slot"], "full")
-    before = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    r = refs.withColumn("__gl_slot", slot(at))
+    starts = runs.withColumn("__gl_slot", slot("run_start")).withColumn("__gl_run", F.struct("run_start", "run_end"))
+    own = starts.groupBy(*keys, "__gl_slot").agg(F.sort_array(F.collect_list("__gl_run")).alias("__gl_own"), F.max("__gl_run").alias("__gl_last"))
+    wanted = r.select(*keys, "__gl_slot").distinct().withColumn("__gl_want", F.lit(True))
+    both = own.join(wanted, [*keys, "__gl_slot"], "full")
+    before = Window.partitionBy(*keys).orderBy("__gl_slot").rowsBetween(Window.unboundedPreceding, -1)
     held = (
-        both.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-        .filter("_want")
-        .select(*keys, "_slot", F.concat(F.when(F.col("_carry").isNull(), F.array().cast("array<struct<run_start:bigint,run_end:bigint>>")).otherwise(F.array("_carry")), F.coalesce("_own", F.array().cast("array<struct<run_start:bigint,run_end:bigint>>"))).alias("_runs"))
+        both.withColumn("__gl_carry", F.last("__gl_last", ignorenulls=True).over(before))
+        .filter("__gl_want")
+        .select(*keys, "__gl_slot", F.concat(F.when(F.col("__gl_carry").isNull(), F.array().cast("array<struct<run_start:bigint,run_end:bigint>>")).otherwise(F.array("__gl_carry")), F.coalesce("__gl_own", F.array().cast("array<struct<run_start:bigint,run_end:bigint>>"))).alias("__gl_runs"))
     )
-    met = r.join(held, [*keys, "_slot"], "left")
-    found = met.withColumn("_hit", F.try_element_at(F.filter("_runs", lambda x: x.run_start <= F.col(at)), F.lit(-1)))
-    orphan = F.col("_hit").isNull() | F.coalesce(F.col(at) >= F.col("_hit.run_end"), F.lit(False))
+    met = r.join(held, [*keys, "__gl_slot"], "left")
+    found = met.withColumn("__gl_hit", F.try_element_at(F.filter("__gl_runs", lambda x: x.run_start <= F.col(at)), F.lit(-1)))
+    orphan = F.col("__gl_hit").isNull() | F.coalesce(F.col(at) >= F.col("__gl_hit.run_end"), F.lit(False))
     return found.filter(orphan).select(*refs.columns)
 
 
 def orphans_of_integers(refs: DataFrame, ref: str, runs: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Rows whose integer reference lies in no run of parent keys: as-of match to the preceding run start, report beyond run end."""
-    spread = runs.select(F.explode(F.sequence(F.floor(F.col("run_start") / block), F.floor(F.col("run_end") / block))).alias("_slot"), "run_start", "run_end")
-    held = spread.groupBy("_slot").agg(F.sort_array(F.collect_list(F.struct("run_start", "run_end"))).alias("_runs"))
-    met = refs.filter(F.col(ref).isNotNull()).withColumn("_slot", F.floor(F.col(ref).cast("long") / block)).join(held, "_slot", "left")
-    hit = F.try_element_at(F.filter("_runs", lambda x: x.run_start <= F.col(ref)), F.lit(-1))
-    return met.withColumn("_hit", hit).filter(F.col("_hit").isNull() | (F.col(ref) > F.col("_hit.run_end"))).select(*refs.columns)
+    spread = runs.select(F.explode(F.sequence(F.floor(F.col("run_start") / block), F.floor(F.col("run_end") / block))).alias("__gl_slot"), "run_start", "run_end")
+    held = spread.groupBy("__gl_slot").agg(F.sort_array(F.collect_list(F.struct("run_start", "run_end"))).alias("__gl_runs"))
+    met = refs.filter(F.col(ref).isNotNull()).withColumn("__gl_slot", F.floor(F.col(ref).cast("long") / block)).join(held, "__gl_slot", "left")
+    hit = F.try_element_at(F.filter("__gl_runs", lambda x: x.run_start <= F.col(ref)), F.lit(-1))
+    return met.withColumn("__gl_hit", hit).filter(F.col("__gl_hit").isNull() | (F.col(ref) > F.col("__gl_hit.run_end"))).select(*refs.columns)

@@ -160,6 +160,8 @@ class ScoreReader:
 # The unit that a stated upper bound tells, by common unit.
 _TOP = {("pct", "1"): "fraction", ("pct", "100"): "pct", ("of10", "5"): "of5", ("of10", "10"): "of10", ("of10", "100"): "of100"}
 
+#: Columns that the operators add; a table's own columns of these names, and any that begin with __gl_, are replaced.
+ADDED = ("metric_key", "score_num", "unit", "factor", "score_states", "unit_source", "unit_posterior", "unit_uncertain", "score_common", "other_unit")
 _READ = "metric_key string, score_num double, unit string, factor double, score_states boolean"
 
 
@@ -180,7 +182,8 @@ def read_scores(df: DataFrame, catalog: list[Metric]) -> DataFrame:
 
     has = set(df.columns)
     text = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
-    return df.withColumn("_r", read(*map(text, ("score", "metric_name", "metric", "metric_max_score")))).select(*df.columns, "_r.*")
+    read_ = read(*map(text, ("score", "metric_name", "metric", "metric_max_score")))
+    return df.withColumn("__gl_read", read_).select(*[f"`{c}`" for c in df.columns if c not in ADDED], "__gl_read.*")
 
 
 @lru_cache(4)
@@ -260,17 +263,17 @@ def to_common_units(df: DataFrame, catalog: list[Metric]) -> DataFrame:
     spark = df.sparkSession
     rows = [(k, b, u, f, p) for (k, b), (u, f, p) in fitted.items()]
     # At most metrics x log bins of a double rows.
-    units = F.broadcast(spark.createDataFrame(rows, "metric_key string, _bin int, _u string, _f double, _p double"))
+    units = F.broadcast(spark.createDataFrame(rows, "metric_key string, __gl_bin int, __gl_u string, __gl_f double, __gl_p double"))
     known = {m.key: m.common for m in catalog}
-    joined = read.withColumn("_bin", F.when(F.col("score_states") & F.col("factor").isNull(), _bin(F.col("score_num")))).join(units, ["metric_key", "_bin"], "left")
-    source = F.when(~F.col("score_states"), "none").when(F.col("factor").isNotNull(), "told").when(F.col("_u").isNotNull(), "fitted").otherwise("none")
+    joined = read.withColumn("__gl_bin", F.when(F.col("score_states") & F.col("factor").isNull(), _bin(F.col("score_num")))).join(units, ["metric_key", "__gl_bin"], "left")
+    source = F.when(~F.col("score_states"), "none").when(F.col("factor").isNotNull(), "told").when(F.col("__gl_u").isNotNull(), "fitted").otherwise("none")
     return (
         joined.withColumn("unit_source", source)
-        .withColumn("unit", F.when(F.col("score_states"), F.coalesce("unit", "_u")))
-        .withColumn("factor", F.when(F.col("score_states"), F.coalesce("factor", "_f")))
-        .withColumn("unit_posterior", F.when(F.col("unit_source") == "fitted", F.col("_p")).when(F.col("unit_source") == "told", 1.0))
+        .withColumn("unit", F.when(F.col("score_states"), F.coalesce("unit", "__gl_u")))
+        .withColumn("factor", F.when(F.col("score_states"), F.coalesce("factor", "__gl_f")))
+        .withColumn("unit_posterior", F.when(F.col("unit_source") == "fitted", F.col("__gl_p")).when(F.col("unit_source") == "told", 1.0))
         .withColumn("unit_uncertain", F.coalesce(F.col("unit_posterior") < SURE, F.lit(False)))
         .withColumn("score_common", F.when(F.col("score_states"), F.col("score_num") * F.coalesce("factor", F.lit(1.0))))
         .withColumn("other_unit", F.col("score_states") & F.col("unit").isNotNull() & (F.col("unit") != F.element_at(_map(known), F.col("metric_key"))) if known else F.lit(False))
-        .drop("_bin", "_u", "_f", "_p")
+        .drop("__gl_bin", "__gl_u", "__gl_f", "__gl_p")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom import schema
 from gridloom.functions import text
 from gridloom.functions.values import recorded_day
-from gridloom.operators import classify, collapse, dedup, integrity, rules, stats
+from gridloom.operators import aliases, classify, collapse, dedup, integrity, rules, stats
 from gridloom.plans.registry import Registry
 from gridloom.runtime import table
 from gridloom.sources import readers, writers
@@ -510,3 +510,11 @@ def export_eee_json(spark: SparkSession, d: str) -> DataFrame:
 def recorded_days(spark: SparkSession, d: str) -> DataFrame:
     """The day of every spelling of a date."""
     return results(spark, d).select("row_id", "date_recorded", recorded_day(F.col("date_recorded")).alias("day"))
+
+
+@query()
+def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Registered ids that each unregistered model_id of results may mean."""
+    m = table(spark, d, "models")
+    names = integrity.fk_violations(results(spark, d), "model_id", m, "model_id").select(F.col("id").alias("name"))
+    return aliases.candidates(names, m, "model_id")
