@@ -19,7 +19,7 @@ def lookup(df: DataFrame, mapping: DataFrame, columns: Iterable[str]) -> DataFra
     """Each column's value replaced by ``new`` where ``mapping`` (old, new) has it as ``old``; all at once, so chains don't run on."""
     small = checked_broadcast(mapping)
     for c in columns:
-        df = df.join(small.select(F.col("old").alias("_o"), F.col("new").alias("_n")), F.col(c) == F.col("_o"), "left").withColumn(c, F.coalesce("_n", c)).drop("_o", "_n")
+        df = df.join(small.select(F.col("old").alias("__gl_o"), F.col("new").alias("__gl_n")), F.col(c) == F.col("__gl_o"), "left").withColumn(c, F.coalesce("__gl_n", c)).drop("__gl_o", "__gl_n")
     return df
 
 
@@ -70,8 +70,8 @@ def setup_extract(dim: DataFrame, facts: DataFrame, rules: dict[str, tuple[str,
     """Facts folded into a base entity; the technique goes to ``setup`` only where that is the empty text."""
     known = present_ids(dim, "model_id", rules)
     setups = mapping_frame(dim, {k: s for k, (_, s) in rules.items() if k in known})
-    small = checked_broadcast(setups.select(F.col("old").alias("_o"), F.col("new").alias("_s")))
-    facts = facts.join(small, F.col("model_name") == F.col("_o"), "left").withColumn("setup", F.when((F.col("setup") == "") & F.col("_s").isNotNull(), F.col("_s")).otherwise(F.col("setup"))).drop("_o", "_s")
+    small = checked_broadcast(setups.select(F.col("old").alias("__gl_o"), F.col("new").alias("__gl_s")))
+    facts = facts.join(small, F.col("model_name") == F.col("__gl_o"), "left").withColumn("setup", F.when((F.col("setup") == "") & F.col("__gl_s").isNotNull(), F.col("__gl_s")).otherwise(F.col("setup"))).drop("__gl_o", "__gl_s")
     facts = lookup(facts, mapping_frame(dim, {k: b for k, (b, _) in rules.items() if k in known}), ["model_name", "model_id"])
     return (dim.filter(~F.col("model_id").isin(sorted(known))) if known else dim), facts
 
@@ -88,11 +88,11 @@ def merge_items(dim: DataFrame, facts: DataFrame, rules: dict[str, str], key: st
     moved = chained(dict(steps), {o for o, _ in steps})
     # Fields come from the item itself, then from what was merged into it, in rule order.
     order = {old: i + 1 for i, (old, _) in enumerate(steps)}
-    ranks = dim.sparkSession.createDataFrame([(o, moved[o], order[o]) for o, _ in steps], "_o string, _to string, _rank int")
-    tagged = dim.join(checked_broadcast(ranks), F.col(key) == F.col("_o"), "left").withColumn("_to", F.coalesce("_to", key)).withColumn("_rank", F.coalesce("_rank", F.lit(0)))
+    ranks = dim.sparkSession.createDataFrame([(o, moved[o], order[o]) for o, _ in steps], "__gl_o string, __gl_to string, __gl_rank int")
+    tagged = dim.join(checked_broadcast(ranks), F.col(key) == F.col("__gl_o"), "left").withColumn("__gl_to", F.coalesce("__gl_to", key)).withColumn("__gl_rank", F.coalesce("__gl_rank", F.lit(0)))
     rest = [c for c in dim.columns if c != key]
-    filled = [F.coalesce(F.min_by(F.col(c), F.when(F.btrim(F.col(c)) != "", F.col("_rank"))), F.min_by(F.col(c), "_rank")).alias(c) for c in rest]
-    return tagged.groupBy(F.col("_to").alias(key)).agg(*filled).select(*dim.columns), lookup(facts, mapping_frame(dim, moved), [key])
+    filled = [F.coalesce(F.min_by(F.col(c), F.when(F.btrim(F.col(c)) != "", F.col("__gl_rank"))), F.min_by(F.col(c), "__gl_rank")).alias(c) for c in rest]
+    return tagged.groupBy(F.col("__gl_to").alias(key)).agg(*filled).select(*dim.columns), lookup(facts, mapping_frame(dim, moved), [key])
 
 
 def apply_aliases(dim: DataFrame, facts: DataFrame, mapping: DataFrame, ordinal: str) -> tuple[DataFrame, DataFrame]:
@@ -103,8 +103,8 @@ def apply_aliases(dim: DataFrame, facts: DataFrame, mapping: DataFrame, ordinal:
 
 def upsert(dim: DataFrame, patch: DataFrame, key: str, overwrite: list[str], fill: list[str]) -> DataFrame:
     """Columns of ``patch`` (one row per key) over those of ``dim``: some always where they differ, some only into blanks."""
-    p = checked_broadcast(patch.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in (*overwrite, *fill)]))
-    j = dim.join(p, F.col(key) == F.col("_k"), "left")
+    p = checked_broadcast(patch.select(F.col(key).alias("__gl_k"), *[F.col(c).alias(f"_{c}") for c in (*overwrite, *fill)]))
+    j = dim.join(p, F.col(key) == F.col("__gl_k"), "left")
     blank = lambda c: F.coalesce(F.btrim(F.col(c)), F.lit("")) == ""
     new = {c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)) for c in overwrite} | {c: F.when(blank(c), F.coalesce(f"_{c}", c)).otherwise(F.col(c)) for c in fill}
     return j.select(*[new.get(c, F.col(c)).alias(c) for c in dim.columns])
@@ -112,13 +112,13 @@ def upsert(dim: DataFrame, patch: DataFrame, key: str, overwrite: list[str], fil
 
 def guarded_update(dim: DataFrame, name: str, patch: DataFrame, column: str) -> DataFrame:
     """``column`` set from ``patch`` (name, value) for exact names, else for names that contain it if just one row does."""
-    p = checked_broadcast(patch.select(F.col("name").alias("_n"), F.col("value").alias("_v")))
-    exact = dim.join(p, F.col(name) == F.col("_n"), "left")
-    used = dim.join(p, F.col(name) == F.col("_n"), "left_semi").select(F.col(name).alias("_n")).distinct()
-    loose = p.join(used, "_n", "left_anti")
-    hits = dim.select(name).join(checked_broadcast(loose), F.contains(F.lower(F.col(name)), F.lower("_n"))).groupBy("_n", "_v").agg(F.count("*").alias("n"), F.min(name).alias("_name")).filter("n = 1").select(F.col("_name").alias("_m"), F.col("_v").alias("_v2"))
-    one = hits.groupBy("_m").agg(F.min("_v2").alias("_v2"))
-    return exact.join(checked_broadcast(one), F.col(name) == F.col("_m"), "left").withColumn(column, F.coalesce("_v", "_v2", column)).select(*dim.columns)
+    p = checked_broadcast(patch.select(F.col("name").alias("__gl_n"), F.col("value").alias("__gl_v")))
+    exact = dim.join(p, F.col(name) == F.col("__gl_n"), "left")
+    used = dim.join(p, F.col(name) == F.col("__gl_n"), "left_semi").select(F.col(name).alias("__gl_n")).distinct()
+    loose = p.join(used, "__gl_n", "left_anti")
+    hits = dim.select(name).join(checked_broadcast(loose), F.contains(F.lower(F.col(name)), F.lower("__gl_n"))).groupBy("__gl_n", "__gl_v").agg(F.count("*").alias("n"), F.min(name).alias("__gl_name")).filter("n = 1").select(F.col("__gl_name").alias("__gl_m"), F.col("__gl_v").alias("__gl_v2"))
+    one = hits.groupBy("__gl_m").agg(F.min("__gl_v2").alias("__gl_v2"))
+    return exact.join(checked_broadcast(one), F.col(name) == F.col("__gl_m"), "left").withColumn(column, F.coalesce("__gl_v", "__gl_v2", column)).select(*dim.columns)
 
 
 def point_corrections(facts: DataFrame, row: str, drop: list[int], scores: dict[int, str], metrics: dict[str, str]) -> DataFrame:

@@ -14,7 +14,7 @@ from gridloom.functions.text import number
 def write_text_table(df: DataFrame, path: str, write: bool = False, mode: str = "overwrite") -> DataFrame:
     """CSV with a header and CRLF line ends; ``mode='append'`` serves audit tables."""
     if write:
-        df.write.mode(mode).option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
+        df.write.mode(mode).option("header", True).option("lineSep", "\r\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", "").csv(path)
     return df
 
 
