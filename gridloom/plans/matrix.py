@@ -297,10 +297,10 @@ def sensitivity_summary(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "select a.col_key as a, b.col_key as b, count(*) as n, sum(a.value * b.value) as s, sum(pow(a.value * b.value, 2)) as q from c a join c b on a.row_key = b.row_key and a.col_key <= b.col_key group by 1, 2"
 
 
-@query(f"with c as ({UD}), p as ({_PAIRS}) select a, b, n, round(s, 4) as s, round(q, 2) as q from p")
+@query(f"with c as ({UD}), p as ({_PAIRS}) select a, b, n, round(s / 1e3, 6) as s, round(q / 1e6, 4) as q from p")
 def pair_products(spark: SparkSession, d: str) -> DataFrame:
     p = osmc.pair_products(ud(spark, d))
-    return p.select("a", "b", "n", F.round("s", 4).alias("s"), F.round("q", 2).alias("q"))
+    return p.select("a", "b", "n", F.round(F.col("s") / 1e3, 6).alias("s"), F.round(F.col("q") / 1e6, 4).alias("q"))
 
 
 @query(f"with c as ({EM}) select a.col_key as a, b.col_key as b, round(sum(a.value * b.value), 6) as theta from c a join c b on a.row_key = b.row_key group by 1, 2")
