@@ -518,3 +518,20 @@ def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "models")
     names = integrity.fk_violations(results(spark, d), "model_id", m, "model_id").select(F.col("id").alias("name"))
     return aliases.candidates(names, m, "model_id")
+
+
+_PIPE_KEY = ", ".join(f"coalesce({c}, chr(1))" for c in IDENTITY)
+
+
+@query(
+    f"""with there as {_THERE}, r as (select row_id, case when benchmark_id = 'quenddialog' then 'veldlaw' else benchmark_id end as benchmark_id, case when model_name = 'Humecavomi-70B-Chat' and model_name in (select model_id from models) then 'renamed' else model_name end as model_name,
+    case when model_id = 'Humecavomi-70B-Chat' and model_id in (select model_id from models) then 'renamed' else model_id end as model_id, metric_name, setup, reasoning_enabled, num_shot_sample, source_url, language from results
+    where model_name is null or not (model_name = 'Macukaxaco 2 13B Coder' and model_name in (select model_id from models))) select min(row_id) as row_id from r group by {_PIPE_KEY}"""
+)
+def standardise_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """merge, remove, rename, then duplicates: the rows that are left."""
+    b, m, r = table(spark, d, "benchmarks"), table(spark, d, "models").select("model_id", "model_name"), results(spark, d).select("row_id", *IDENTITY)
+    b, r = rules.merge_items(b, r, {"quenddialog": "veldlaw"})
+    m, r = rules.remove(m, "model_id", r, "model_name", ["Macukaxaco 2 13B Coder"])
+    m, r = rules.rename(m, r, {"Humecavomi-70B-Chat": "renamed"})
+    return dedup.keep_first(r, IDENTITY, "row_id").select("row_id")

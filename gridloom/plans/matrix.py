@@ -444,3 +444,99 @@ def loading_congruence(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 4)).alias("f", "v"), (F.col("vec_id") % 3).cast("int").alias("method"))
     load = e.groupBy("item", (F.col("f") + 1).alias("factor"), "method").agg(F.avg(F.col("v").cast("double")).alias("loading"))
     return _rounded(factor.congruence(load, [], "method"), "congruence", places=5)
+
+
+# -- further operators ------------------------------------------------------------------------------------------------------------
+
+_UNIT = "(cast('0x' || substr(md5('1|' || row_key || '|' || col_key), 1, 13) as bigint) + 1)::double / (pow(16, 13) + 1)"
+
+
+@query(f"select row_key, col_key from (select *, row_number() over (partition by row_key order by -ln({_UNIT}) / (1 / pow(col_key % 7 + 1, 0.7))) as i from ({CS})) where i <= 3")
+def sample_k_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted draws without replacement by exponential keys."""
+    cells = cs(spark, d).withColumn("w", 1 / F.pow(F.col("col_key") % 7 + 1, F.lit(0.7)))
+    return holdout.sample_k(cells, 3, weight="w").select("row_key", "col_key")
+
+
+@query(f"with l as ({_METHODS}) select a.item as a, b.item as b, round(sum(a.loading * b.loading), 6) as theta from l a join l b on a.factor = b.factor and a.method = 0 and b.method = 0 group by 1, 2")
+def theta_hat(spark: SparkSession, d: str) -> DataFrame:
+    """V V' of a loadings table: both sides are item lists, joined on the factor."""
+    e = table(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 4)).alias("factor", "v"))
+    v = e.groupBy("item", "factor").agg(F.avg(F.col("v").cast("double")).alias("loading"))
+    pair = v.select(F.col("item").alias("a"), "factor", F.col("loading").alias("x")).join(v.select(F.col("item").alias("b"), "factor", F.col("loading").alias("y")), "factor")
+    return pair.groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("theta"))
+
+
+@query(f"with l as ({_LOAD}), s as (select factor, sum(loading * loading) as ss from l group by 1) select factor, round(sum(ss / (select count(distinct item) from l)) over (order by ss desc, factor rows unbounded preceding), 6) as cumulative from s")
+def variance_explained(spark: SparkSession, d: str) -> DataFrame:
+    return factor.ss_loadings(_fixed_loadings(spark, d)).select("factor", F.round("cumulative", 6).alias("cumulative"))
+
+
+@query(f"with c as (select user_id as row_key, event_type as col_key, avg(value) / 100 as value from events group by 1, 2), p as ({_PAIRS}), o as (select sum(n) as n, sum(s) as s, sum(q) as q from p where a <> b) select round(sqrt(q / n - pow(s / n, 2)), 6) as rmse, n::bigint as n from o")
+def product_score(spark: SparkSession, d: str) -> DataFrame:
+    """Error of predicting every product of two cells of a row by the mean product, from pair sums alone."""
+    scaled = ut(spark, d).withColumn("value", F.col("value") / 100)
+    o = osmc.pair_products(scaled).filter("a <> b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    return o.select(F.round(F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2)), 6).alias("rmse"), "n")
+
+
+@query(f"with h as ({_held_sql(CS, 'col_key')}), t as (select * from h where not held), m as ({_MOMENTS}), e as (select col_key, pow((mu - value) / sd, 2) as e from h join m using (col_key) where held), c as (select avg(e) as mse, count(*) as n from e group by col_key) select round(avg(sqrt(mse)), 6) as rmse, 0.0::double as r2, cast(sum(n) as bigint) as n from c")
+def holdout_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out score of the mean imputer, fitted on training cells only; by definition its r2 is 0."""
+    marked = cut(holdout.holdout(cs(spark, d)), "held")
+    train, held = marked.filter("not held").drop("held"), marked.filter("held").drop("held")
+    means = train.groupBy("col_key").agg(F.avg("value").alias("value"))
+    return holdout.score(held, held.select("row_key", "col_key").join(means, "col_key"), train).select(F.round("rmse", 6).alias("rmse"), (F.round("r2", 6) + 0.0).alias("r2"), "n")
+
+
+@query("with c as (select event_id % 10 as param, round(avg(value), 6) as rmse from events group by 1) select param, rmse, round(lag(rmse) over (order by param) - rmse, 6) as gain from c")
+def dashboard_panels(spark: SparkSession, d: str) -> DataFrame:
+    """The data of a curve panel: a value per parameter and the gain of each step."""
+    c = table(spark, d, "events").groupBy((F.col("event_id") % 10).alias("param")).agg(F.round(F.avg("value"), 6).alias("rmse"))
+    return _rounded(report.curve_panel(c, "param", "rmse"), "gain")
+
+
+@query(
+    "with l as (select (vec_id // 20)::varchar as item, i::int + 1 as factor, avg(embedding[i::int + 1])::double as loading, (vec_id % 2)::int as method, 'kind' || (vec_id // 240) % 2 as kind from embeddings, range(0, 3) t(i) group by all), s as (select kind, method, factor, row_number() over (partition by kind, method order by sum(loading * loading) desc, factor) as pos from l group by 1, 2, 3), "
+    "h as (select kind, method, md5(array_to_string(list_sort(list(distinct item)), '|')) as shape, count(distinct factor) as nf from l group by 1, 2), x as (select l.kind, shape, nf, l.method as m, item, pos, loading from l join s using (kind, method, factor) join h using (kind, method)), "
+    "c as (select a.kind, a.nf, a.m as method_a, b.m as method_b, a.pos, abs(sum(a.loading * b.loading) / sqrt(sum(a.loading * a.loading) * sum(b.loading * b.loading))) as c from x a join x b on a.kind = b.kind and a.shape = b.shape and a.nf = b.nf and a.item = b.item and a.pos = b.pos and a.m < b.m group by 1, 2, 3, 4, 5) "
+    "select kind, nf, method_a, method_b, round(avg(c), 5) as congruence from c group by 1, 2, 3, 4"
+)
+def congruence_report(spark: SparkSession, d: str) -> DataFrame:
+    """Congruence of methods within each kind of loadings."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 3)).alias("f", "v"), (F.col("vec_id") % 2).cast("int").alias("method"), F.concat(F.lit("kind"), (F.floor(F.col("vec_id") / 240) % 2).cast("string")).alias("kind"))
+    load = e.groupBy("item", (F.col("f") + 1).alias("factor"), "method", "kind").agg(F.avg(F.col("v").cast("double")).alias("loading"))
+    return _rounded(factor.congruence(load, ["kind"], "method"), "congruence", places=5)
+
+
+@query()
+def pa_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(factor.random_cutoffs(spark, 200, 12, 20))], "position int, cutoff double")
+
+
+@query()
+def second_order(spark: SparkSession, d: str) -> DataFrame:
+    r, _, load, phi = _loadings(spark, d)
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(factor.hierarchy(r, load, phi)["second_order"])], "first_order_factor int, g double")
+
+
+@query()
+def osmc_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Subspace error of one-sided completion and of its three baselines on a planted low-rank table with four cells per row."""
+    full = synth.low_rank(spark, 800, 16, 2, 5)
+    t, sampled = osmc.pair_table(full), cut(holdout.sample_k(full, 4), "osmc")
+    true = np.linalg.eigh(t.s)[1][:, ::-1][:, :2]
+    seen = osmc.pair_table(sampled)
+    off = seen.s - np.diag(np.diag(seen.s))
+    bases = {
+        "one-sided": osmc.singular_vectors(osmc.fit(seen, 2, 800), 2), "direct": np.linalg.eigh(seen.s)[1][:, ::-1][:, :2], "without diagonal": np.linalg.eigh(off)[1][:, ::-1][:, :2], "full completion": osmc.full_completion(sampled, 2),
+    }
+    return spark.createDataFrame([(k, osmc.rowspace_error(b, true), osmc.mean_principal_angle(b, true)) for k, b in bases.items()], "method string, error double, angle double")
+
+
+@query()
+def propensity(spark: SparkSession, d: str) -> DataFrame:
+    """Chance of each cell of the dense user x day table to be observed, from the mask alone."""
+    x, rk, ck = impute._driver_matrix(ud(spark, d))
+    p = osmc.propensity((~np.isnan(x)).astype(float), iters=30)
+    return spark.createDataFrame([(int(r), int(c), float(p[i, j])) for i, r in enumerate(rk) for j, c in enumerate(ck)], "row_key long, col_key int, p double")
