@@ -167,7 +167,7 @@ def collapse_key_aggressive(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def collapse_key_standard(spark: SparkSession, d: str) -> DataFrame:
-    """A fold over tokens; checked against an independent fold in Python in the tests."""
+    """A fold over tokens; checked by a table of cases in the tests."""
     return text.with_fine_key(table(spark, d, "models").select("model_id", "model_family", "model_size"), "model_id", "model_family", "model_size")
 
 
