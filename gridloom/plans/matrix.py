@@ -341,7 +341,7 @@ def osmc_predict(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def osmc_surrogate(spark: SparkSession, d: str) -> DataFrame:
+def surrogate(spark: SparkSession, d: str) -> DataFrame:
     cells = ut(spark, d)
     z = holdout.zscores(cells, cells).select("row_key", "col_key", F.col("z").alias("value"))
     t = osmc.pair_table(z)
@@ -540,3 +540,25 @@ def propensity(spark: SparkSession, d: str) -> DataFrame:
     x, rk, ck = impute._driver_matrix(ud(spark, d))
     p = osmc.propensity((~np.isnan(x)).astype(float), iters=30)
     return spark.createDataFrame([(int(r), int(c), float(p[i, j])) for i, r in enumerate(rk) for j, c in enumerate(ck)], "row_key long, col_key int, p double")
+
+
+@query(f"with l as ({_LOAD}) select method, factor, row_number() over (partition by method order by sum(loading * loading) desc, factor)::int as position from l group by 1, 2")
+def ssq_factor_order(spark: SparkSession, d: str) -> DataFrame:
+    """Position of each factor by its sum of squared loadings, within a method."""
+    from pyspark.sql import Window
+
+    ss = _fixed_loadings(spark, d).groupBy("method", "factor").agg(F.sum(F.col("loading") * F.col("loading")).alias("ss"))
+    return ss.select("method", "factor", F.row_number().over(Window.partitionBy("method").orderBy(F.col("ss").desc(), "factor")).alias("position"))
+
+
+_ZD = f"with t as ({UD}), m as ({_MOMENTS}), c as (select row_key, col_key, (value - mu) / sd as value from t join m using (col_key)), p as ({_PAIRS})"
+
+
+@query(f"{_ZD}, l as (select sum(case when a <> b then 2 * (n * 0.0625 - 0.5 * s + q) end) / sum(case when a <> b then 2 * n end) + sum(case when a = b then n * 0.0625 - 0.5 * s + q end) / sum(case when a = b then n end) as loss from p) select round(loss, 6) as loss from l")
+def osmc_ragged_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The loss over rows of different lengths, of a factor whose every product is 0.25."""
+    cells = ud(spark, d)
+    z = holdout.zscores(cells, cells).select("row_key", "col_key", F.col("z").alias("value"))
+    t = osmc.pair_table(z)
+    loss, _ = osmc.loss_and_gradient(np.full((len(t.items), 1), 0.5), t)
+    return spark.createDataFrame([(round(loss, 6),)], "loss double")

@@ -72,6 +72,12 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what ``cut`` wrote for this driver process; call it once results are stored."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom-{os.getpid()}")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only where a count proves ``df`` to have at most ``limit`` rows; larger sides are shuffled."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

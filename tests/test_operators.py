@@ -378,3 +378,11 @@ def test_integrity_of_random_masks():
             if now != v:
                 want[v] = now
         assert rules.chained(chain, set("abcdef")) == want
+
+
+@pytest.mark.parametrize(("cells", "target", "axis", "want"), [("cp", 0.05, "col_key", (880, 31, 1375)), ("cs", 0.40, "row_key", (760, 100, 30400)), ("ps", 0.40, "col_key", (1256, 3, 1671)), ("ud", 0.95, "row_key", (40, 30, 1140))])
+def test_peeled_shapes_of_the_bindings(cells, target, axis, want, spark):
+    from gridloom.plans import matrix
+
+    kept = densify.peel(getattr(matrix, cells)(spark, "/root/testdata/sf0.01"), target, axis)
+    assert tuple(kept.agg(F.count_distinct("row_key"), F.count_distinct("col_key"), F.count("*")).first()) == want

@@ -155,3 +155,12 @@ def test_integer_runs_and_their_orphans(spark):
         runs = orphans.integer_runs(keys, "k", block)
         refs = spark.createDataFrame([(k,) for k in [None, 0, 1, 3, 4, 7, 9, 20, 21, -5, -6]], "r long")
         assert {r.r for r in orphans.orphans_of_integers(refs, "r", runs, 8).collect()} == {0, 4, 9, 21, -6}
+
+
+def test_cuts_are_written_to_the_shared_folder_and_cleaned(spark):
+    from gridloom.runtime import clean, cut, shared_dir
+
+    df = cut(spark.range(5), "test")
+    assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
+    clean(spark)
+    assert cut(spark.range(3), "test").count() == 3
