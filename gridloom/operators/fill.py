@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import cut
+
 #: The first prototypes are rows of a bounded sample; every later pass goes over all rows.
 SEED_ROWS = 2_000
 CLUSTERS = 8
@@ -37,8 +39,8 @@ def _assign(prototypes: list[dict], numeric: list[str], categorical: list[str])
 def k_prototypes(features: DataFrame, numeric: list[str], categorical: list[str], clusters: int = CLUSTERS, passes: int = PASSES) -> list[dict]:
     """Prototypes (means of numeric and modes of categorical features) of ``clusters`` clusters.
 
-    Numeric features should be standardised. Each pass is one scan with two small aggregations; what reaches the driver is one row
-    per cluster and one per cluster and category, so categorical features must be of few values.
+    Numeric features should be standardised. Each pass is one scan and one aggregation; what reaches the driver is one row per cluster
+    and one per cluster and feature. Categorical features must be of few values, as their combinations are counted.
     """
     sample = [r.asDict() for r in features.select(*numeric, *categorical).limit(SEED_ROWS).collect()]
     if not sample:
@@ -51,12 +53,14 @@ def k_prototypes(features: DataFrame, numeric: list[str], categorical: list[str]
         chosen.append(sample[int(near.argmax())])
         near = np.minimum(near, [gap(r, chosen[-1]) for r in sample])
     for _ in range(passes):
-        labelled = features.select(_assign(chosen, numeric, categorical).alias("cluster"), *numeric, *categorical)
-        means = {r.cluster: r for r in labelled.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in numeric]).collect()} if numeric else {}
+        # One scan and one aggregation a pass: sums by cluster and combination of categories, from which means and modes follow.
+        sums = features.select(_assign(chosen, numeric, categorical).alias("cluster"), *numeric, *categorical).groupBy("cluster", *categorical)
+        sums = cut(sums.agg(F.count("*").alias("__gl_n"), *[x for c in numeric for x in (F.sum(c).alias(f"__gl_s_{c}"), F.count(c).alias(f"__gl_k_{c}"))]), "prototypes")
+        means = {r.cluster: r for r in sums.groupBy("cluster").agg(*[F.try_divide(F.sum(f"__gl_s_{c}"), F.sum(f"__gl_k_{c}")).alias(c) for c in numeric]).collect()} if numeric else {}
         modes: dict[tuple[int, str], tuple] = {}
         if categorical:
-            pairs = labelled.select("cluster", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("x")).select("cluster", "x.c", "x.v")
-            counts = pairs.filter("v is not null").groupBy("cluster", "c", "v").agg(F.count("*").alias("n"))
+            pairs = sums.select("cluster", "__gl_n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in categorical])).alias("x")).select("cluster", "__gl_n", "x.c", "x.v")
+            counts = pairs.filter("v is not null").groupBy("cluster", "c", "v").agg(F.sum("__gl_n").alias("n"))
             for r in counts.groupBy("cluster", "c").agg(F.max(F.struct("n", F.col("v"))).alias("m")).collect():
                 modes[(r.cluster, r.c)] = r.m.v
         chosen = [{**{c: getattr(means[i], c) if i in means and getattr(means[i], c) is not None else p[c] for c in numeric}, **{c: modes.get((i, c), p[c]) for c in categorical}} for i, p in enumerate(chosen)]
