@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import cut
+
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухікѕјԁһԛԝвмнтαοερτυνκι", "aeopcyxiksjdhqwbmhtaoeptuvki")
 # Short and other forms of the kinds of a model.
@@ -127,6 +129,7 @@ def map_names(names: DataFrame, name: str, entries: DataFrame, entry: str) -> Da
     ref = _parse(entries.select(entry).filter(F.col(entry).isNotNull()).distinct(), entry)
     ref = ref.withColumn("family", F.get("words", F.lit(0))).filter("family is not null").withColumn("kind", F.array_join(F.array_sort(F.slice("words", 2, 100)), " "))
     ref = ref.withColumn("plus", F.col("family").endswith("+")).withColumn("family", F.regexp_replace("family", r"\++$", ""))
+    ref = cut(ref, "entries")
     families = ref.select(F.col("family").alias("word")).distinct().withColumn("role", F.lit("family"))
     kinds = ref.select(F.explode(F.slice("words", 2, 100)).alias("word")).distinct().join(families.select("word"), "word", "left_anti").withColumn("role", F.lit("kind"))
     vocabulary = families.unionByName(kinds)
@@ -138,7 +141,8 @@ def map_names(names: DataFrame, name: str, entries: DataFrame, entry: str) -> Da
     idf = lambda c: F.log1p(total / F.col(f"_n_{c}"))
     ref = ref.select(entry, "family", "plus", "version", "size", "kind", *[idf(c).alias(f"_w_{c}") for c in df])
 
-    parsed = _parse(names.select(name).filter(F.col(name).isNotNull()).distinct(), name)
+    # Parsing is the costly part and several joins follow, so its results are written once.
+    parsed = cut(_parse(names.select(name).filter(F.col(name).isNotNull()).distinct(), name), "names")
     forms = F.create_map(*[F.lit(x) for kv in KIND_FORMS.items() for x in kv])
     words = parsed.filter("not none").select(name, F.explode("words").alias("raw"))
     words = words.withColumn("plus", F.col("raw").endswith("+")).withColumn("token", F.regexp_replace("raw", r"\++$", ""))
