@@ -109,7 +109,8 @@ def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     rest = tokens.join(vocabulary, tokens["token"] == vocabulary["word"], "left_anti").filter(F.length("token") >= SHORT_WORD - SHORT_EDITS)
     left = rest.withColumn("_v", F.explode(F.pandas_udf(_neighbours, "array<string>")("token")))
     right = vocabulary.filter(F.length("word") >= SHORT_WORD).select("word").withColumn("_v", F.explode(F.pandas_udf(_neighbours, "array<string>")("word")))
-    pairs = left.join(right, "_v").select("token", "word").distinct()
+    # Spark sizes the variants by the words before the explosion, which is far too small for a broadcast; both sides are shuffled.
+    pairs = left.join(right.hint("merge"), "_v").select("token", "word").distinct()
     limit = F.when(F.least(F.length("token"), F.length("word")) >= LONG_WORD - 1, LONG_EDITS).otherwise(SHORT_EDITS)
     swap = F.array_sort(F.split("token", "")) == F.array_sort(F.split("word", ""))
     scored = pairs.withColumn("_d", F.levenshtein("token", "word")).filter(F.col("_d") <= limit)
