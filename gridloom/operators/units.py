@@ -258,9 +258,13 @@ def fit_units(read: DataFrame, catalog: list[Metric], sweeps: int = 40) -> dict[
 def to_common_units(df: DataFrame, catalog: list[Metric]) -> DataFrame:
     """``read_scores`` plus score_common, unit, factor, unit_source (told, fitted or none), unit_posterior, unit_uncertain and
     other_unit: whether the score states a value in another unit than the common one."""
-    read = read_scores(df, catalog)
+    return with_common_units(read_scores(df, catalog), catalog)
+
+
+def with_common_units(read: DataFrame, catalog: list[Metric]) -> DataFrame:
+    """``to_common_units`` of scores that are already read; they are scanned twice."""
     fitted = fit_units(read, catalog)
-    spark = df.sparkSession
+    spark = read.sparkSession
     rows = [(k, b, u, f, p) for (k, b), (u, f, p) in fitted.items()]
     # At most metrics x log bins of a double rows.
     units = F.broadcast(spark.createDataFrame(rows, "metric_key string, __gl_bin int, __gl_u string, __gl_f double, __gl_p double"))

@@ -73,10 +73,12 @@ def _fills(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]
         "row_id", *SCORE_COLUMNS, stated("model_name").alias("model_name"), stated("benchmark_id").alias("benchmark_id"), stated("model_id").alias("known_id"), stated("benchmark_name").alias("known_name"),
         stated("model_family").alias("family"), F.col("year_evaluated").try_cast("double").alias("year"), F.col("model_size").try_cast("double").alias("size"), *[stated(c).alias(f"{c}_") for c in ("language", "model_type", "source_type")],
     )
-    read = units.read_scores(rows, _catalog(spark, d))
-    x = F.when(F.col("score_states"), F.col("score_num") * F.coalesce("factor", F.lit(1.0)))
-    base = read.select(
-        "row_id", x.alias("score_common"), "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family", "language_", "model_type_", "source_type_",
+    # Told and fitted units, as in problem 6: scores of one metric are on one scale before they are compared, clustered or averaged.
+    catalog = _catalog(spark, d)
+    common = units.with_common_units(cut(units.read_scores(rows, catalog), "p2-scores"), catalog)
+    x = F.col("score_common")
+    base = common.select(
+        "row_id", "score_common", "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family", "language_", "model_type_", "source_type_",
         ((F.col("year") - 2024) / 1.5).alias("z_year"), (F.log1p("size") / 2).alias("z_size"), (F.signum(x) * F.log1p(F.abs(x)) / 2).alias("z_score"),
     )
     base = cut(base, "p2-features")

@@ -164,3 +164,11 @@ def test_cuts_are_written_to_the_shared_folder_and_cleaned(spark):
     assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
     clean(spark)
     assert cut(spark.range(3), "test").count() == 3
+
+
+def test_observed_fills_are_in_the_common_unit(spark, data):
+    from gridloom.plans import problems
+
+    want = {r.row_id: r.score_common for r in problems.p6_converted(spark, data).filter("score_common is not null").collect()}
+    got = {r.row_id: r.score_common for r in problems.p2_filled(spark, data).filter("score_common_filled is null").collect()}
+    assert got == want
