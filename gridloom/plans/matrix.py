@@ -416,7 +416,7 @@ _LOAD = "select vec_id::varchar as item, i::int + 1 as factor, embedding[i::int
 
 
 def _fixed_loadings(spark, d):
-    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 4)).alias("f", "loading"), (F.col("label") % 3).alias("method")).select("item", (F.col("f") + 1).alias("factor"), F.col("loading").cast("double").alias("loading"), "method")
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("item"), F.posexplode("embedding").alias("f", "loading"), (F.col("label") % 3).alias("method")).select("item", (F.col("f") + 1).alias("factor"), F.col("loading").cast("double").alias("loading"), "method")
 
 
 @query(f"with l as ({_LOAD}), s as (select factor, sum(loading * loading) as ss from l group by 1), n as (select count(distinct item) as p from l) select factor, round(ss, 6) as ss, row_number() over (order by ss desc, factor)::int as position, round(ss / p, 6) as share, round(sum(ss / p) over (order by ss desc, factor rows unbounded preceding), 6) as cumulative from s, n")
@@ -441,7 +441,7 @@ _METHODS = "select (vec_id // 10)::varchar as item, i::int + 1 as factor, avg(em
     from x a join x b on a.shape = b.shape and a.nf = b.nf and a.item = b.item and a.pos = b.pos and a.m < b.m group by 1, 2, 3, 4) select nf, method_a, method_b, round(avg(c), 5) as congruence from c group by 1, 2, 3"""
 )
 def loading_congruence(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 4)).alias("f", "v"), (F.col("vec_id") % 3).cast("int").alias("method"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode("embedding").alias("f", "v"), (F.col("vec_id") % 3).cast("int").alias("method"))
     load = e.groupBy("item", (F.col("f") + 1).alias("factor"), "method").agg(F.avg(F.col("v").cast("double")).alias("loading"))
     return _rounded(factor.congruence(load, [], "method"), "congruence", places=5)
 
@@ -460,11 +460,12 @@ def sample_k_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with l as ({_METHODS}) select a.item as a, b.item as b, round(sum(a.loading * b.loading), 6) as theta from l a join l b on a.factor = b.factor and a.method = 0 and b.method = 0 group by 1, 2")
 def theta_hat(spark: SparkSession, d: str) -> DataFrame:
-    """V V' of a loadings table: both sides are item lists, joined on the factor."""
-    e = table(spark, d, "embeddings").filter("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 4)).alias("factor", "v"))
+    """V V' of a loadings table of all rows and dimensions: a row of V is an array, so a pair of items is one product."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("string").alias("item"), F.posexplode("embedding").alias("factor", "v"))
     v = e.groupBy("item", "factor").agg(F.avg(F.col("v").cast("double")).alias("loading"))
-    pair = v.select(F.col("item").alias("a"), "factor", F.col("loading").alias("x")).join(v.select(F.col("item").alias("b"), "factor", F.col("loading").alias("y")), "factor")
-    return pair.groupBy("a", "b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("theta"))
+    v = cut(v.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("factor", "loading"))), lambda x: x["loading"]).alias("x")), "theta")
+    pair = v.select(F.col("item").alias("a"), "x").crossJoin(v.select(F.col("item").alias("b"), F.col("x").alias("y")))
+    return pair.select("a", "b", F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6).alias("theta"))
 
 
 @query(f"with l as ({_LOAD}), s as (select factor, sum(loading * loading) as ss from l group by 1) select factor, round(sum(ss / (select count(distinct item) from l)) over (order by ss desc, factor rows unbounded preceding), 6) as cumulative from s")
@@ -504,7 +505,7 @@ def dashboard_panels(spark: SparkSession, d: str) -> DataFrame:
 )
 def congruence_report(spark: SparkSession, d: str) -> DataFrame:
     """Congruence of methods within each kind of loadings."""
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).cast("string").alias("item"), F.posexplode(F.slice("embedding", 1, 3)).alias("f", "v"), (F.col("vec_id") % 2).cast("int").alias("method"), F.concat(F.lit("kind"), (F.floor(F.col("vec_id") / 240) % 2).cast("string")).alias("kind"))
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 20).cast("string").alias("item"), F.posexplode("embedding").alias("f", "v"), (F.col("vec_id") % 2).cast("int").alias("method"), F.concat(F.lit("kind"), (F.floor(F.col("vec_id") / 240) % 2).cast("string")).alias("kind"))
     load = e.groupBy("item", (F.col("f") + 1).alias("factor"), "method", "kind").agg(F.avg(F.col("v").cast("double")).alias("loading"))
     return _rounded(factor.congruence(load, ["kind"], "method"), "congruence", places=5)
 
