@@ -16,7 +16,7 @@ from gridloom.operators import densify, factor, holdout, impute, osmc, stats
 from gridloom.operators.collapse import pivot, unpivot
 from gridloom.plans import report
 from gridloom.plans.registry import Registry
-from gridloom.runtime import cut, table
+from gridloom.runtime import cut, small_collect, table
 from gridloom.sources import readers, synth
 
 R = Registry()
@@ -106,15 +106,24 @@ def moment_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.moment_summary(table(spark, d, "events"), ["event_type"], "value"), "min", "median", "max", "mean", "variance", "skew", "kurtosis")
 
 
+#: Event types become columns, so there may be this many at most.
+MAX_EVENT_TYPES = 1_000
+
+
+def _event_types(spark: SparkSession, d: str) -> list[str]:
+    kinds = table(spark, d, "events").select("event_type").filter("event_type is not null").distinct()
+    return sorted(r.event_type for r in small_collect(kinds, MAX_EVENT_TYPES, "event types"))
+
+
 @query("select user_id as row_key, " + ", ".join(f"round(avg(value) filter (event_type = '{t}'), 6) as {t}" for t in ("click", "view", "purchase")) + " from events group by 1")
 def pivot_matrix(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["click", "view", "purchase"]
+    kinds = _event_types(spark, d)
     return _rounded(pivot(ut(spark, d), kinds), *kinds)
 
 
 @query(f"select row_key, col_key, round(value, 6) as value from ({UT}) where col_key in ('click', 'view', 'purchase')")
 def unpivot_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(unpivot(pivot(ut(spark, d), ["click", "view", "purchase"]), "row_key"), "value")
+    return _rounded(unpivot(pivot(ut(spark, d), _event_types(spark, d)), "row_key"), "value")
 
 
 @query("select row_key, param, rmse, r2 from (select user_id as row_key, 1 as param, round(avg(value), 6) as rmse, round(min(value), 6) as r2 from events group by 1 union all select user_id, 2, round(max(value), 6), null from events group by 1)")

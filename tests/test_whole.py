@@ -33,3 +33,12 @@ def test_loadings_queries_take_all_dimensions(spark, vectors):
     for name in ("loading_congruence", "congruence_report"):
         got = rows(name)
         assert got and {r.nf for r in got} == {6}
+
+
+def test_pivot_and_back_keep_every_event_type(spark, tmp_path):
+    rows = [(1, "click", 1.0), (1, "click", 3.0), (1, "error", 4.0), (2, "signup", 5.0), (3, "view", 6.0), (3, "purchase", 7.0), (4, "new kind", 8.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    wide = catalog.QUERIES["pivot_matrix"](spark, str(tmp_path))
+    assert set(wide.columns) == {"row_key", *(r[1] for r in rows)} and wide.count() == 4
+    got = {(r.row_key, r.col_key): r.value for r in catalog.QUERIES["unpivot_matrix"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "click"): 2.0, (1, "error"): 4.0, (2, "signup"): 5.0, (3, "view"): 6.0, (3, "purchase"): 7.0, (4, "new kind"): 8.0}
