@@ -340,8 +340,7 @@ _DAY = "case when regexp_matches(date_recorded, '^\\d{4}-\\d{2}-\\d{2}$') then t
 @query(f"select row_id from (select row_id, row_number() over (partition by benchmark_id, model_name, metric_name, source_url order by coalesce({_DAY}, date '0001-01-01') desc, row_id desc) as n from results) where n = 1")
 def keep_latest(spark: SparkSession, d: str) -> DataFrame:
     key = list(schema.STAGING_KEY)
-    day = F.when(F.col("date_recorded").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date_recorded").try_cast("date"))
-    return dedup.keep_latest(results(spark, d).select("row_id", "date_recorded", *key), key, day, "row_id").select("row_id")
+    return dedup.keep_latest(results(spark, d).select("row_id", "date_recorded", *key), key, recorded_day(F.col("date_recorded")), "row_id").select("row_id")
 
 
 @query("with g as (select count(*) as n, count(distinct metric_name) as m, count(distinct source_url) as s from results group by model_name, benchmark_id having count(*) > 1) select case when m > 1 then 'different metrics' when s > 1 then 'different sources' else 'true duplicate' end as kind, count(*) as n_groups, cast(sum(n) as bigint) as n_rows from g group by 1")

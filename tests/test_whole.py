@@ -42,3 +42,11 @@ def test_pivot_and_back_keep_every_event_type(spark, tmp_path):
     assert set(wide.columns) == {"row_key", *(r[1] for r in rows)} and wide.count() == 4
     got = {(r.row_key, r.col_key): r.value for r in catalog.QUERIES["unpivot_matrix"](spark, str(tmp_path)).collect()}
     assert got == {(1, "click"): 2.0, (1, "error"): 4.0, (2, "signup"): 5.0, (3, "view"): 6.0, (3, "purchase"): 7.0, (4, "new kind"): 8.0}
+
+
+def test_keep_latest_reads_every_spelling_of_a_date(spark, tmp_path):
+    days = [("2023-01-01", "2024/05/30"), ("2023-01-01", "20240530"), ("2023-01-01", "2024-05-30T10:00:00Z"), ("2023-01-01", "May 3, 2024"), ("2023-01-01", "3 May 2024"), (None, "2023-01-01"), ("no date", "2023-01-01")]
+    rows = [(10 * i + (1 - j), f"m{i}", day) for i, pair in enumerate(days) for j, day in enumerate(pair)]  # the newer row has the smaller id
+    df = spark.createDataFrame(rows, "row_id long, model_name string, date_recorded string").selectExpr("*", "'b' as benchmark_id", "'acc' as metric_name", "'u' as source_url")
+    df.write.parquet(f"{tmp_path}/results.parquet")
+    assert {r.row_id for r in catalog.QUERIES["keep_latest"](spark, str(tmp_path)).collect()} == {10 * i for i in range(len(days))}
