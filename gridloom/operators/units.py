@@ -28,6 +28,8 @@ BINS_PER_DECADE = 20
 MEMO = 1 << 16
 SPREAD = 1.5  # bins, width of the smoothing kernel
 ZERO_BIN = -9999
+#: Rows that the density's prior is worth against the rows with a told unit.
+PRIOR_ROWS = 50.0
 #: Posterior below which an assigned unit is flagged as uncertain.
 SURE = 0.9
 
@@ -89,8 +91,10 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-_SHAPE = re.compile(r"([~≈<>$€£ ]*)([+\-−]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)(?!\d*[.,]\d)(.*)", re.S)
-_PLAIN = re.compile(r"[+-]?\d+(\.\d+)?")
+# A number is grouped by thousands (1,234.5 or 1.234,5 or 12 345), or has one decimal mark, which may be a comma (83,477 is 83.477).
+_GROUPED = re.compile(r"[+\-−]?\d{1,3}(?:(?P<g>[, '’.])\d{3}(?:(?P=g)\d{3})+(?:(?!(?P=g))[.,]\d+)?|(?P<h>[,.])\d{3}(?!(?P=h))[.,]\d+|[ '’]\d{3}(?:[.,]\d+)?)(?![\d.,])")
+_SHAPE = re.compile(r"([~≈<>$€£ ]*)([+\-−]?(?:\d+(?:[.,]\d+)?|[.,]\d+)(?:[eE][+-]?\d+)?)(?!\d*[.,]\d)(.*)", re.S)
+_PLAIN = re.compile(r"[+-]?(\d+(\.\d*)?|\.\d+)")
 _ERROR = re.compile(r"\(?±\s*[\d.,]+\)?")
 _DIGITS = re.compile(r"\d+")
 
@@ -115,25 +119,39 @@ class ScoreReader:
         rest = text if not hit else text[: hit.start()] + " | " + text[hit.end() :]
         return self.alias[hit.group(1)] if hit else None, next((u for u, p in self.in_name if p.search(rest)), None)
 
-    def _written(self, score: str | None) -> tuple[float | None, str | None, float | None]:
-        """The number, the unit told beside it and the denominator of a ratio. A placeholder has none of them."""
+    def _written(self, score: str | None) -> tuple[float | None, str | None, float | None, bool]:
+        """The number, the unit told beside it, the denominator of a ratio, and whether it stands alone. A text that is no
+        finite number, or is followed by another number that no unit explains, has none of them."""
         text = re.sub(r"[\s\u200b-\u200f\u2060\ufeff]+", " ", unicodedata.normalize("NFKC", score or "")).strip()
         if _PLAIN.fullmatch(text):
             x = float(text)
-            return (None if x in SENTINELS else x), None, None
+            return (x if math.isfinite(x) else None), None, None, True
+        lead = len(text) - len(text.lstrip("~≈<>$€£ "))
+        grouped = _GROUPED.match(text, lead)
+        if grouped:
+            marks = [ch for ch in grouped.group() if ch in ".,"]
+            group = grouped["g"] or grouped["h"] or next(ch for ch in grouped.group() if ch in " '’")
+            digits = grouped.group().replace(group, "")
+            if group in ".," and len(set(marks)) == 1 and len(marks) == 1:
+                digits = grouped.group()
+            text = text[:lead] + digits.replace(",", ".") + text[grouped.end() :]
         hit = _SHAPE.fullmatch(text)
         if not hit:
-            return None, None, None
+            return None, None, None, False
         x = float(hit.group(2).replace(",", ".").replace("−", "-"))
         rest = _ERROR.sub("", hit.group(3).lower().strip(), count=1).strip()
+        if not math.isfinite(x) or rest[:1].isdigit():
+            return None, None, None, False
         unit = next((u for u, p in self.after if p.search(rest)), None) or ("usd" if "$" in hit.group(1) else None)
-        return x, unit, float(_DIGITS.search(rest).group()) if unit == "ratio" else None
+        return x, unit, float(_DIGITS.search(rest).group()) if unit == "ratio" else None, not rest
 
     def __call__(self, score: str | None, name: str | None, metric: str | None, top: str | None) -> tuple:
-        x, after, of = self.written(score)
+        x, after, of, alone = self.written(score)
         key, told = self.metric(name)
         if key is None and metric:
             key = self.metric(metric)[0]
+        if key is None and alone and x in SENTINELS:
+            x = None
         if x is None or key is None:
             return key, x, None, None, x is not None
         m = self.by[key]
@@ -152,8 +170,12 @@ class ScoreReader:
             factor = units.get(unit)
         if factor is None:
             unit = None
-        factors = [factor] if factor is not None else list(units.values())
         low, high = -math.inf if m.low is None else m.low - 1e-9, math.inf if m.high is None else m.high + 1e-9
+        # Negative runs of nines always stand in for a missing value, the other sentinels only where their told unit, else the common
+        # unit, can't hold them.
+        if alone and x in SENTINELS and (x <= -99.0 or not low <= x * (factor or 1.0) <= high):
+            return key, None, None, None, False
+        factors = [factor] if factor is not None else list(units.values())
         return key, x, unit, factor, any(low <= x * f <= high for f in factors)
 
 
@@ -201,7 +223,7 @@ def fit_units(read: DataFrame, catalog: list[Metric], sweeps: int = 40) -> dict[
     One aggregation over all rows counts numbers by metric, told unit and log bin. On the driver (metrics x units x bins, bounded
     by the catalog and the range of doubles) each metric's density over the log of the common unit is taken from the rows with a
     told unit; the numbers without one follow a mixture of that density shifted by each unit's known factor, and EM fits the
-    shares of the units. Where few rows tell a unit, EM fits the density as well.
+    shares of the units. EM refits the density as well, with the untold rows weighted by PRIOR_ROWS / (PRIOR_ROWS + told rows).
     """
     counts = read.filter("score_states and metric_key is not null").groupBy("metric_key", "unit", "factor", _bin(F.col("score_num")).alias("bin")).agg(F.count("*").alias("n"))
     # Ratios bring any factor, so they are folded into the common unit before the counts leave the cluster.
@@ -233,11 +255,10 @@ def fit_units(read: DataFrame, catalog: list[Metric], sweeps: int = 40) -> dict[
         at = 10 ** (bins / BINS_PER_DECADE)
         can = np.array([[a * f <= top * (1 + 1e-9) for _, f in m.units] for a in at])
         can[~can.any(1), 0] = True
-        fixed = seen.sum() >= 50
+        # Told rows are evidence against a prior of PRIOR_ROWS: the more of them, the less the untold rows shape the density.
+        trust = PRIOR_ROWS / (PRIOR_ROWS + seen.sum())
         base = seen.copy()
-        if not fixed:
-            for b, k in zip(bins, n):
-                base[b - lo] += k
+        np.add.at(base, bins - lo, trust * n)
         density, share = smooth(base), np.r_[0.9, np.full(len(shifts) - 1, 0.1 / max(1, len(shifts) - 1))][: len(shifts)]
         where = bins[:, None] - lo + np.array(shifts)[None, :]
         for _ in range(sweeps):
@@ -245,10 +266,9 @@ def fit_units(read: DataFrame, catalog: list[Metric], sweeps: int = 40) -> dict[
             post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
             share = (post * n[:, None]).sum(0) + 1e-3
             share /= share.sum()
-            if not fixed:
-                base = seen.copy()
-                np.add.at(base, where, post * n[:, None])
-                density = smooth(base)
+            base = seen.copy()
+            np.add.at(base, where, trust * post * n[:, None])
+            density = smooth(base)
         for b, p in zip(bins, post):
             best = int(p.argmax())
             out[(key, int(b))] = (m.units[best][0], m.units[best][1], float(p[best]))

@@ -7,45 +7,65 @@ columns. An entity appears if any of its rows holds a value. An empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Attributes per block of the grid. A block is one shuffled array, so that no row holds more than this many cells at once.
-BLOCK = 16
+from gridloom.operators.ranks import dense_ranks
+from gridloom.runtime import checked_broadcast, cut
+
+#: Attributes per page of the grid. A page is one shuffled array, so that no row holds more than this many cells at once.
+PAGE = 64
 
 
 def attribute_positions(cells: DataFrame, attribute: str) -> DataFrame:
-    """Each distinct attribute with its position (0-based, in order of name). One task sorts the distinct attributes, which are to
-    become columns, so there are thousands of them and not billions."""
-    return cells.select(attribute).distinct().withColumn("position", F.row_number().over(Window.orderBy(attribute)) - 1)
+    """Each distinct attribute with its position (0-based, in order of name); as a written table."""
+    return cut(dense_ranks(cells.filter(F.col(attribute).isNotNull()), [attribute], "position"), "positions")
 
 
 def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, order: str, positions: DataFrame) -> DataFrame:
-    """The completed grid by blocks: entity, block, cells (array of BLOCK strings, sorted by attribute position; null: no value).
+    """The completed grid, one row per entity: ``pages``, the array of all pages of all attributes, each an array of PAGE strings.
 
-    Cells are aggregated first, so a hot entity or attribute shuffles one row per cell. Each block that an entity touches is
-    completed to all its positions and the values are joined in by position, within the row; the blocks that it doesn't touch are
-    all null and are not shuffled: reading a cell of a missing block gives null.
+    Cells are aggregated first, so a hot entity or attribute shuffles one row per cell. The cells of a page are collected, sorted by
+    attribute position, and each position of the page takes its value from them or null (a left join within the row). Then each
+    entity's row is completed to every page there is in the same way: a page without any value stands in its place as one null,
+    which is read as null cells, so that completing costs one slot per page and nothing is shuffled for it.
     """
-    cells = rows.groupBy(entity, attribute).agg(F.max_by(value, order).alias("_v"))
-    at = cells.join(positions, attribute)
-    blocks = (
-        at.withColumn("block", F.floor(F.col("position") / BLOCK).cast("int"))
-        .groupBy(entity, "block")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct((F.col("position") % BLOCK).cast("int").alias("i"), F.col("_v").alias("v"))))).alias("_m"))
+    last = positions.agg(F.max("position")).first()[0]
+    pages = 0 if last is None else last // PAGE + 1
+    cells = rows.groupBy(entity, attribute).agg(F.max_by(value, order).alias("__gl_v"))
+    # Distinct attributes; broadcast only where a count proves them few.
+    at = cells.join(checked_broadcast(positions), attribute, "left")
+    held = at.groupBy(entity, F.floor(F.col("position") / PAGE).cast("int").alias("__gl_page")).agg(
+        F.array_sort(F.collect_list(F.struct((F.col("position") % PAGE).cast("int").alias("i"), F.col("__gl_v").alias("v")))).alias("__gl_cells")
     )
-    return blocks.select(entity, "block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.try_element_at("_m", i)).alias("cells"))
+    full = held.select(entity, "__gl_page", _complete(F.col("__gl_cells"), "i", "v", PAGE).alias("cells"))
+    rows_ = full.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("__gl_page", "cells"))).alias("__gl_pages"))
+    return rows_.select(entity, _complete(F.col("__gl_pages"), "__gl_page", "cells", pages).alias("pages"))
+
+
+def _complete(held: Column, place: str, value: str, size: int) -> Column:
+    """The values of an array sorted by ``place``, each at its place, with a null at each place below ``size`` that has none."""
+    nulls = lambda n: F.array_repeat(F.when(F.lit(False), F.get(held, F.lit(0))[value]), n)
+    before = lambda k: F.coalesce(F.get(held, k - 1)[place], F.lit(-1))
+    filled = F.flatten(F.transform(held, lambda x, k: F.concat(nulls(x[place] - before(k) - 1), F.array(x[value]))))
+    return F.concat(filled, nulls(F.lit(size - 1) - F.get(held, F.size(held) - 1)[place]))
 
 
-def unpivot_grid(grid: DataFrame, entity: str, attribute: str, positions: DataFrame, kind: str = "double") -> DataFrame:
-    """The grid's cells that its columns' type can hold, as entity, attribute, value."""
-    long = grid.select(entity, (F.col("block") * BLOCK).alias("_b"), F.posexplode("cells").alias("_i", "_v")).withColumn("value", F.col("_v").try_cast(kind)).filter("value is not null")
-    return long.withColumn("position", F.col("_b") + F.col("_i")).join(positions, "position").select(entity, attribute, "value")
+def wide_table(grid: DataFrame, entity: str, columns: list[tuple[str, int | None, str]]) -> DataFrame:
+    """One row per entity: for each (name, position, type) the cell at its fixed index, through a try cast to its type. A column
+    without a position (no row has its attribute) is null."""
+    cell = lambda p: F.get(F.get("pages", F.lit(p // PAGE)), F.lit(p % PAGE))
+    return grid.select(entity, *[(cell(p) if p is not None else F.lit(None).cast("string")).try_cast(t).alias(n) for n, p, t in columns])
 
 
-def wide_table(grid: DataFrame, entity: str, columns: list[tuple[str, int, str]]) -> DataFrame:
-    """One row per entity: for each (name, position, type) the cell at its fixed index, through a try cast to its type."""
-    used = sorted({p // BLOCK for _, p, _ in columns})
-    per = grid.groupBy(entity).agg(F.map_from_entries(F.collect_list(F.when(F.col("block").isin(used), F.struct("block", "cells")))).alias("_g")) if used else grid.select(entity).distinct()
-    arrays = per.select(entity, *[F.try_element_at("_g", F.lit(b)).alias(f"_b{b}") for b in used])
-    return arrays.select(entity, *[F.get(f"_b{p // BLOCK}", F.lit(p % BLOCK)).try_cast(t).alias(n) for n, p, t in columns])
+def read_pages(grid: DataFrame, entity: str, attribute: str, positions: DataFrame, kind: str = "double") -> DataFrame:
+    """The cells of all attributes that ``kind`` can hold, as entity, attribute and value, read from the wide rows page by page.
+
+    Each page is projected to PAGE typed columns by fixed indices, as ``wide_table`` projects the columns it is given by name, and
+    the typed columns are stacked. This reads a table of more columns than a plan can name.
+    """
+    paged = grid.select(entity, F.posexplode("pages").alias("__gl_page", "__gl_cells")).filter("__gl_cells is not null")
+    typed = paged.select(entity, "__gl_page", *[F.get("__gl_cells", F.lit(i)).try_cast(kind).alias(f"__gl_{i}") for i in range(PAGE)])
+    long = typed.select(entity, "__gl_page", F.posexplode(F.array(*[f"__gl_{i}" for i in range(PAGE)])).alias("__gl_i", "value")).filter("value is not null")
+    long = long.select(entity, (F.col("__gl_page") * PAGE + F.col("__gl_i")).cast("bigint").alias("position"), "value")
+    return long.join(checked_broadcast(positions), "position").select(entity, attribute, "value")

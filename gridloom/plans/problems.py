@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.values import PLACEHOLDERS, states_value
 from gridloom.operators import fill, orphans, units, wide
-from gridloom.runtime import cut, table
+from gridloom.runtime import cut, small_collect, table
 
 SCORE_COLUMNS = ("score", "metric_name", "metric", "metric_max_score")
+#: Columns of the wide table, which the registry of benchmarks names.
+MAX_COLUMNS = 5_000
 MONTH_US = 30 * 86_400_000_000
 
 
@@ -27,13 +29,17 @@ def _scored_cells(spark: SparkSession, d: str) -> DataFrame:
     return read.select("row_id", "model_name", "benchmark_id", F.col("score_num").cast("string").alias("number"))
 
 
+def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The completed grid of all models and all spellings of benchmarks, and the positions of the spellings."""
+    named = table(spark, d, "results").filter(states_value(F.col("benchmark_id")))
+    positions = wide.attribute_positions(named, "benchmark_id")
+    return wide.attribute_grid(_scored_cells(spark, d), "model_name", "benchmark_id", "number", "row_id", positions), positions
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of the wide table that hold a number, read back from the grid: model_name, benchmark_id."""
-    rows = _scored_cells(spark, d)
-    positions = wide.attribute_positions(table(spark, d, "results").filter(states_value(F.col("benchmark_id"))), "benchmark_id")
-    positions = cut(positions, "p1-positions")
-    grid = wide.attribute_grid(rows, "model_name", "benchmark_id", "number", "row_id", positions)
-    return wide.unpivot_grid(grid, "model_name", "benchmark_id", positions).select("model_name", "benchmark_id")
+    """The cells of the wide table that hold a number, read from its typed columns: model_name, benchmark_id."""
+    grid, positions = _grid(spark, d)
+    return wide.read_pages(grid, "model_name", "benchmark_id", positions).select("model_name", "benchmark_id")
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -42,15 +48,15 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     The registry gives the columns (it doesn't grow with results); a spelling it doesn't hold can't be a fixed column of a plan
     that must stay the same from day to day, and is kept in ``other_benchmarks``. Of several scores of a cell the last loaded counts.
     """
-    names = sorted(r[0] for r in table(spark, d, "benchmarks").select("benchmark_id").filter("benchmark_id is not null").distinct().collect())
-    where = {n: i for i, n in enumerate(names)}
-    rows = cut(_scored_cells(spark, d), "p1-cells")
-    positions = spark.createDataFrame(list(where.items()), "benchmark_id string, position int")
-    grid = wide.attribute_grid(rows, "model_name", "benchmark_id", "number", "row_id", positions)
-    table_ = wide.wide_table(grid, "model_name", [(n, i, "double") for n, i in where.items()])
-    other = rows.join(F.broadcast(positions), "benchmark_id", "left_anti").groupBy("model_name", "benchmark_id").agg(F.max_by("number", "row_id").try_cast("double").alias("v"))
-    other = other.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark_id", "v"))).alias("other_benchmarks"))
-    return table_.join(other, "model_name", "full")
+    grid, positions = _grid(spark, d)
+    grid = cut(grid, "p1-grid")
+    registered = table(spark, d, "benchmarks").select("benchmark_id").filter("benchmark_id is not null").distinct()
+    rows = small_collect(registered.join(positions, "benchmark_id", "left"), MAX_COLUMNS, "benchmarks")
+    table_ = wide.wide_table(grid, "model_name", [(r.benchmark_id, r.position, "double") for r in sorted(rows)])
+    tail = positions.join(F.broadcast(registered), "benchmark_id", "left_anti")  # registered: at most MAX_COLUMNS rows
+    other = wide.read_pages(grid, "model_name", "benchmark_id", tail)
+    other = other.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark_id", "value"))).alias("other_benchmarks"))
+    return table_.join(other, "model_name", "left")
 
 
 # -- 2 ------------------------------------------------------------------------------------------------------------------------
