@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import dense_ranks, range_buckets
+from gridloom.runtime import checked_broadcast, cut
+
+#: References that one bucket of the as-of match holds, about, once there are more than the session's shuffle partitions take.
+BUCKET_ROWS = 1_000_000
+_RUN = "struct<code:bigint,run_start:bigint,run_end:bigint>"
+
 
 def integer_runs(keys: DataFrame, key: str, block: int = 1 << 20) -> DataFrame:
     """Sorted distinct integers as contiguous runs (run_start, run_end), without a global sort in one task.
@@ -36,36 +43,61 @@ def validity_runs(log: DataFrame, keys: list[str], at: str, on: Column, tie: str
     return flips.withColumn("run_end", F.lead("t").over(w)).filter("on").select(*keys, F.col("t").alias("run_start"), "run_end")
 
 
-def orphan_references(refs: DataFrame, runs: DataFrame, keys: list[str], at: str, slice_width: int) -> DataFrame:
-    """The references whose key lies in no run at their position ``at``.
+def preceding_runs(refs: DataFrame, runs: DataFrame, code: str, at: str) -> DataFrame:
+    """``refs`` with ``run``, the last run of the same code that starts at or before the reference's place (null: none).
+
+    Places are pairs of integers (code, at); both columns must hold no nulls. References and run starts are cut into range buckets
+    of about equally many references, so that a hot code is spread by ``at`` over several; the last run that starts before a bucket
+    is carried into it (one row per bucket passes the driver). Within a bucket one sorted pass carries the last run start along.
+    """
+    spark = refs.sparkSession
+    bounds = refs.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
+    if not bounds.n:
+        return refs.withColumn("run", F.lit(None).cast(_RUN))
+    width = float(bounds.hi - bounds.lo + 1)
+    # The fraction keeps the order within a code: rounding is monotone, and equal places only share a bucket.
+    place = lambda x: F.col(code) + F.least(F.greatest((F.col(x) - bounds.lo) / F.lit(width), F.lit(0.0)), F.lit(1.0))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bounds.n // BUCKET_ROWS)
+    placed, by = range_buckets(refs.withColumn("__gl_place", place(at)), "__gl_place", "__gl_bucket", buckets)
+    starts = runs.select(F.col(code), F.col("run_start").alias(at), F.struct(F.col(code).cast("bigint").alias("code"), F.col("run_start").cast("bigint").alias("run_start"), F.col("run_end").cast("bigint").alias("run_end")).alias("run"))
+    starts = starts.withColumn("__gl_place", place(at))
+    starts = by.transform(starts).withColumn("__gl_bucket", F.col("__gl_bucket").cast("int")) if by else starts.withColumn("__gl_bucket", F.lit(0))
+    last = {r[0]: r[1] for r in starts.groupBy("__gl_bucket").agg(F.max("run")).collect()}
+    carried, held = [], None
+    for b in range(len(by.getSplits()) - 1 if by else 1):
+        if held is not None:
+            carried.append((b, held.code, held.run_start, tuple(held)))
+        held = max(filter(None, (held, last.get(b))), default=None)
+    carry = spark.createDataFrame(carried, f"__gl_bucket int, {code} bigint, {at} bigint, run {_RUN}")
+    is_ref = placed.drop("__gl_place").withColumn("__gl_ref", F.lit(1))
+    both = is_ref.unionByName(starts.drop("__gl_place").unionByName(carry, allowMissingColumns=True).withColumn("__gl_ref", F.lit(0)), allowMissingColumns=True)
+    seen = Window.partitionBy("__gl_bucket").orderBy(code, at, "__gl_ref").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("run", F.last("run", ignorenulls=True).over(seen)).filter("__gl_ref = 1")
+    return met.select(*refs.columns, F.when(F.col("run.code") == F.col(code), F.col("run")).alias("run"))
+
+
+def orphan_references(refs: DataFrame, log: DataFrame, keys: list[str], at: str, on: Column, logged_at: str, tie: str) -> DataFrame:
+    """The references whose key isn't in force at their position ``at`` by ``log``.
 
-    Each run goes to every slice of positions, ``slice_width`` wide, in which a reference could have it as its preceding run start:
-    its own slice, and as carried-in run the later slices that hold references of its key. A reference then meets the few runs of
-    one key and slice, takes the last run start at or before it, and is reported if there is none or it lies at or beyond that
-    run's end. Slices also split a hot key; what is left of its skew AQE splits on the references' side.
+    The log's distinct keys become dense integers in sort order; a key's log becomes contiguous runs of (key, time) places in which
+    it is in force. A reference is matched to its preceding run start and reported if it lies at or beyond that run's end. A
+    key that the log doesn't hold, or a position that is null, makes an orphan at once.
     """
-    slot = lambda c: F.floor(F.col(c) / slice_width)
-    r = refs.withColumn("__gl_slot", slot(at))
-    starts = runs.withColumn("__gl_slot", slot("run_start")).withColumn("__gl_run", F.struct("run_start", "run_end"))
-    own = starts.groupBy(*keys, "__gl_slot").agg(F.sort_array(F.collect_list("__gl_run")).alias("__gl_own"), F.max("__gl_run").alias("__gl_last"))
-    wanted = r.select(*keys, "__gl_slot").distinct().withColumn("__gl_want", F.lit(True))
-    both = own.join(wanted, [*keys, "__gl_slot"], "full")
-    before = Window.partitionBy(*keys).orderBy("__gl_slot").rowsBetween(Window.unboundedPreceding, -1)
-    held = (
-        both.withColumn("__gl_carry", F.last("__gl_last", ignorenulls=True).over(before))
-        .filter("__gl_want")
-        .select(*keys, "__gl_slot", F.concat(F.when(F.col("__gl_carry").isNull(), F.array().cast("array<struct<run_start:bigint,run_end:bigint>>")).otherwise(F.array("__gl_carry")), F.coalesce("__gl_own", F.array().cast("array<struct<run_start:bigint,run_end:bigint>>"))).alias("__gl_runs"))
-    )
-    met = r.join(held, [*keys, "__gl_slot"], "left")
-    found = met.withColumn("__gl_hit", F.try_element_at(F.filter("__gl_runs", lambda x: x.run_start <= F.col(at)), F.lit(-1)))
-    orphan = F.col("__gl_hit").isNull() | F.coalesce(F.col(at) >= F.col("__gl_hit.run_end"), F.lit(False))
-    return found.filter(orphan).select(*refs.columns)
-
-
-def orphans_of_integers(refs: DataFrame, ref: str, runs: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """Rows whose integer reference lies in no run of parent keys: as-of match to the preceding run start, report beyond run end."""
-    spread = runs.select(F.explode(F.sequence(F.floor(F.col("run_start") / block), F.floor(F.col("run_end") / block))).alias("__gl_slot"), "run_start", "run_end")
-    held = spread.groupBy("__gl_slot").agg(F.sort_array(F.collect_list(F.struct("run_start", "run_end"))).alias("__gl_runs"))
-    met = refs.filter(F.col(ref).isNotNull()).withColumn("__gl_slot", F.floor(F.col(ref).cast("long") / block)).join(held, "__gl_slot", "left")
-    hit = F.try_element_at(F.filter("__gl_runs", lambda x: x.run_start <= F.col(ref)), F.lit(-1))
-    return met.withColumn("__gl_hit", hit).filter(F.col("__gl_hit").isNull() | (F.col(ref) > F.col("__gl_hit.run_end"))).select(*refs.columns)
+    codes = dense_ranks(log, keys, "__gl_code")
+    codes = checked_broadcast(cut(codes, "codes"))
+    held = log.join(codes, keys)
+    runs = cut(validity_runs(held, ["__gl_code"], logged_at, on, tie), "runs")
+    coded = cut(refs.join(codes, keys, "left"), "references")
+    placeless = F.col("__gl_code").isNull() | F.col(at).isNull()
+    met = preceding_runs(coded.filter(~placeless), runs, "__gl_code", at)
+    beyond = F.col("run").isNull() | F.coalesce(F.col(at) >= F.col("run.run_end"), F.lit(False))
+    return coded.filter(placeless).select(*refs.columns).unionByName(met.filter(beyond).select(*refs.columns))
+
+
+def orphans_of_integers(refs: DataFrame, ref: str, runs: DataFrame) -> DataFrame:
+    """Rows whose integer reference lies in no run of parent keys: as-of match to the preceding run start, report beyond run end.
+    Null references are none."""
+    place = refs.filter(F.col(ref).isNotNull()).withColumn("__gl_code", F.lit(0).cast("bigint")).withColumn("__gl_at", F.col(ref).cast("bigint"))
+    spans = runs.select(F.lit(0).cast("bigint").alias("__gl_code"), "run_start", (F.col("run_end") + 1).alias("run_end"))
+    met = preceding_runs(place, spans, "__gl_code", "__gl_at")
+    return met.filter(F.col("run").isNull() | (F.col("__gl_at") >= F.col("run.run_end"))).select(*refs.columns)

@@ -12,7 +12,6 @@ from gridloom.runtime import cut, small_collect, table
 SCORE_COLUMNS = ("score", "metric_name", "metric", "metric_max_score")
 #: Columns of the wide table, which the registry of benchmarks names.
 MAX_COLUMNS = 5_000
-MONTH_US = 30 * 86_400_000_000
 
 
 def _catalog(spark: SparkSession, d: str) -> list[units.Metric]:
@@ -113,25 +112,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 # -- 3 ------------------------------------------------------------------------------------------------------------------------
 
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    refs = table(spark, d, "results").select("row_id", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("t"), F.col("model_name").alias("models"), F.col("benchmark_id").alias("benchmarks"))
-    long = refs.select("row_id", "t", F.explode(F.array(F.struct(F.lit("models").alias("ref_table"), F.col("models").alias("key")), F.struct(F.lit("benchmarks").alias("ref_table"), F.col("benchmarks").alias("key")))).alias("r")).select("row_id", "t", "r.*")
-    long = long.filter(states_value(F.col("key")))
-    log = table(spark, d, "registry_log").select(F.col("table_name").alias("ref_table"), F.col("key_value").alias("key"), "action", F.unix_micros(F.col("logged_at").cast("timestamp")).alias("at"), "log_id")
-    return long, orphans.validity_runs(log.filter("key is not null"), ["ref_table", "key"], "at", F.col("action") == "added", "log_id")
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    """row_id, t (loaded_at in microseconds), ref_table and key of each orphan reference."""
+    refs = table(spark, d, "results").select("row_id", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("t"), F.explode(F.create_map(F.lit("models"), "model_name", F.lit("benchmarks"), "benchmark_id")).alias("ref_table", "key"))
+    refs = refs.filter(states_value(F.col("key")))
+    log = table(spark, d, "registry_log").filter("key_value is not null and table_name is not null")
+    log = log.select(F.col("table_name").alias("ref_table"), F.col("key_value").alias("key"), "action", F.unix_micros(F.col("logged_at").cast("timestamp")).alias("at"), "log_id")
+    return orphans.orphan_references(refs, log, ["ref_table", "key"], "t", F.col("action") == "added", "at", "log_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """References whose key isn't in force at the row's loaded_at: row_id, ref_table."""
-    refs, runs = _references(spark, d)
-    return orphans.orphan_references(refs, runs, ["ref_table", "key"], "t", 12 * MONTH_US).select("row_id", "ref_table")
+    return _orphans(spark, d).select("row_id", "ref_table")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphan references per parent table and month of loading."""
-    refs, runs = _references(spark, d)
-    found = orphans.orphan_references(refs, runs, ["ref_table", "key"], "t", 12 * MONTH_US)
-    return found.groupBy("ref_table", F.date_format(F.timestamp_micros("t"), "yyyy-MM").alias("month")).agg(F.count("*").alias("orphans"), F.countDistinct("key").alias("keys"))
+    month = F.date_format(F.timestamp_micros("t"), "yyyy-MM").alias("month")
+    return _orphans(spark, d).groupBy("ref_table", month).agg(F.count("*").alias("orphans"), F.countDistinct("key").alias("keys"))
 
 
 # -- 6 ------------------------------------------------------------------------------------------------------------------------
