@@ -171,9 +171,9 @@ class ScoreReader:
         if factor is None:
             unit = None
         low, high = -math.inf if m.low is None else m.low - 1e-9, math.inf if m.high is None else m.high + 1e-9
-        # Negative runs of nines always stand in for a missing value, the other sentinels only where their told unit, else the common
-        # unit, can't hold them.
-        if alone and x in SENTINELS and (x <= -99.0 or not low <= x * (factor or 1.0) <= high):
+        # Negative runs of nines always stand in for a missing value, positive ones unless a told unit holds them, and -1 where its told
+        # unit, else the common unit, can't hold it.
+        if alone and x in SENTINELS and (x <= -99.0 or x > 0 and factor is None or not low <= x * (factor or 1.0) <= high):
             return key, None, None, None, False
         factors = [factor] if factor is not None else list(units.values())
         return key, x, unit, factor, any(low <= x * f <= high for f in factors)

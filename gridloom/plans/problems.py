@@ -71,42 +71,44 @@ _LEVELS = {
 }
 
 
-def _fills(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def _fills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their features and clusters, and the fills of all missing fields."""
     stated = lambda c: F.when(states_value(F.col(c)), F.col(c))
+    # Features only group rows: there, a lookup of the placeholders as they stand is enough.
+    plain = lambda c: F.when(~F.lower(F.trim(c)).isin(*PLACEHOLDERS), F.col(c))
     raw = table(spark, d, "results")
     rows = raw.select(
-        "row_id", *SCORE_COLUMNS, stated("model_name").alias("model_name"), stated("benchmark_id").alias("benchmark_id"), stated("model_id").alias("known_id"), stated("benchmark_name").alias("known_name"),
-        stated("model_family").alias("family"), F.col("year_evaluated").try_cast("double").alias("year"), F.col("model_size").try_cast("double").alias("size"), *[stated(c).alias(f"{c}_") for c in ("language", "model_type", "source_type")],
+        "row_id", *SCORE_COLUMNS, stated("model_name").alias("model_name"), stated("benchmark_id").alias("benchmark_id"), plain("model_id").alias("known_id"), plain("benchmark_name").alias("known_name"),
+        plain("model_family").alias("family"), F.col("year_evaluated").try_cast("double").alias("year"), F.col("model_size").try_cast("double").alias("size"), *[plain(c).alias(f"{c}_") for c in ("language", "model_type", "source_type")],
     )
     # Told and fitted units, as in problem 6: scores of one metric are on one scale before they are compared, clustered or averaged.
     catalog = _catalog(spark, d)
-    common = units.with_common_units(cut(units.read_scores(rows, catalog), "p2-scores"), catalog)
+    read = units.read_scores(rows, catalog).drop("score", "metric_name", "metric", "metric_max_score")
+    common = units.with_common_units(cut(read, "p2-scores"), catalog)
     x = F.col("score_common")
     base = common.select(
         "row_id", "score_common", "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family", "language_", "model_type_", "source_type_",
         ((F.col("year") - 2024) / 1.5).alias("z_year"), (F.log1p("size") / 2).alias("z_size"), (F.signum(x) * F.log1p(F.abs(x)) / 2).alias("z_score"),
     )
-    base = cut(base, "p2-features")
     prototypes = fill.k_prototypes(base, _NUMERIC, _CATEGORICAL)
-    rows = cut(fill.assign_clusters(base, prototypes, _NUMERIC, _CATEGORICAL).select("row_id", "cluster", "score_common", "model_name", "benchmark_id", "metric_key", "known_id", "known_name", "family"), "p2-clusters")
-    # Each target's fills are written before the next is planned, which keeps every plan small.
-    return rows, {t: cut(fill.fill_levels(rows, "row_id", t, levels, how), f"p2-{t}") for t, (how, levels) in _LEVELS.items()}
+    placed = fill.assign_clusters(base, prototypes, _NUMERIC, _CATEGORICAL)
+    return placed, fill.fill_targets(placed, "row_id", _LEVELS)
 
 
 def p2_filled(spark: SparkSession, d: str) -> DataFrame:
     """Every results row: row_id, score_common, model_name and benchmark_id with fills, and for each the level it was filled from
     (null: observed). Levels go from the row's cluster within its metric and benchmark, or its model, to the whole table."""
     rows, fills = _fills(spark, d)
-    out = fill.with_fills(rows.select("row_id", *_LEVELS), "row_id", fills)
+    fills = cut(fills, "p2-fills")
+    each = {t: fills.filter(F.col("field") == t).select("row_id", F.col("number" if how == "median" else "text").alias("value"), "level") for t, (how, _) in _LEVELS.items()}
+    out = fill.with_fills(rows.select("row_id", *_LEVELS), "row_id", each)
     return out.select("row_id", *[c for t in _LEVELS for c in (t, f"{t}_filled")])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The fields that were filled, or that nothing could fill: row_id, field_name."""
     _, fills = _fills(spark, d)
-    named = {"score_common": "score", "model_name": "model_name", "benchmark_id": "benchmark_id"}
-    found = [f.select("row_id", F.lit(named[t]).alias("field_name")) for t, f in fills.items()]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return fills.select("row_id", F.when(F.col("field") == "score_common", "score").otherwise(F.col("field")).alias("field_name"))
 
 
 # -- 3 ------------------------------------------------------------------------------------------------------------------------
