@@ -20,9 +20,9 @@ from gridloom.runtime import cut
 #: The first prototypes are taken from so many cells, in the order of a hash; every pass goes over all cells.
 SEED_ROWS = 2_000
 CLUSTERS = 8
-PASSES = 20
+PASSES = 10
 #: Resolution of the standardised numeric features that are clustered, and the move of a mean below which it counts as settled.
-CELL, SETTLED = 0.05, 0.05
+CELL, SETTLED = 0.2, 0.05
 #: Weight of a differing category against a squared standard deviation.
 GAMMA = 0.7
 #: Significant digits of the values that medians are taken of.
