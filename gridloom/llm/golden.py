@@ -7,8 +7,6 @@ give no row. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -17,6 +15,9 @@ from pyspark.sql import functions as F
 #: Distinct values (or profiles) that one alignment takes at most; larger groups are aligned by levels of this fan-in.
 FAN_IN = 64
 
+#: Fall of a row's weight with each later day and each more trusted tier of its group, and share of the row loaded first.
+FALL, FIRST = 8.0, 0.7
+
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[^\s\p{L}\p{M}\p{N}]")
 
 Profile = list[dict[str, float]]
@@ -71,10 +72,10 @@ def profile_of(values: list[tuple[str, float]]) -> Profile:
 
 
 def consensus(profile: Profile, total: float) -> list[str]:
-    """The heaviest token of each column, unless the gap (all weight not voted in the column) is heavier."""
+    """The heaviest token of each column (the one laid out first among equals), unless the gap (all weight not voted in the column) is heavier."""
     out = []
     for col in profile:
-        token, weight = max(col.items(), key=lambda x: (x[1], x[0]))
+        token, weight = max(col.items(), key=lambda x: x[1])
         if weight >= total - sum(col.values()):
             out.append(token)
     return out
@@ -131,29 +132,36 @@ def _merge(groups: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["columns", "total"])
 
 
-def _far(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for value, columns, total in batches:
-        yield pd.Series([float(distance(tokens(v), consensus([dict(x) for x in c], t))) for v, c, t in zip(value, columns, total)])
+def _goal(columns: pd.Series, total: pd.Series) -> pd.Series:
+    return pd.Series([consensus([dict(x) for x in c], t) for c, t in zip(columns, total)])
+
+
+def _far(value: pd.Series, goal: pd.Series) -> pd.Series:
+    return pd.Series([float(distance(tokens(v), list(g))) for v, g in zip(value, goal)])
 
 
 def survivors(values: DataFrame, group: list[str]) -> DataFrame:
     """The chosen value of each group: ``group``, value, row, agreement (1: it is the consensus).
 
     ``values`` holds one row per group and distinct value, with its weight and its representative row, so a hot group is already
-    reduced by partial aggregation. A group of at most FAN_IN values is one array; of larger groups, blocks of FAN_IN values become
-    profiles, which are aligned to each other level by level, and then each value is compared with its group's consensus.
+    reduced by partial aggregation. A group of one value takes it. The alignment is a tree of fan-in FAN_IN: its leaves align values,
+    heaviest first, its inner nodes align profiles, heaviest first; a group of at most FAN_IN values is one leaf, so no task holds
+    more than FAN_IN values or profiles of a group. Then each value is compared with its group's consensus.
     """
     sized = values.groupBy(*group).agg(F.count("*").alias("_n"))
-    large = sized.filter(F.col("_n") > FAN_IN)
-    small_groups = sized.filter(F.col("_n") <= FAN_IN).select(*group)
+    most = (sized.agg(F.max("_n")).first() or [None])[0] or 0
     item = F.struct("value", "weight", "row")
-    most = (large.agg(F.max("_n")).first() or [None])[0]
-    if most is None:
-        grouped = values.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_g"))
-        return grouped.select(*group, F.pandas_udf(_choose, _CHOICE)("_g").alias("_c")).select(*group, "_c.*")
-    small = values.join(small_groups, group).groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_g"))
-    done = small.select(*group, F.pandas_udf(_choose, _CHOICE)("_g").alias("_c")).select(*group, "_c.*")
-    big = values.join(large, group)
+    several = values.join(sized.filter(F.col("_n") > 1), group) if most > 1 else None
+    # Arrays of one value need no Python; grouping finds them without another join.
+    fits = values if most <= FAN_IN else values.join(sized.filter(F.col("_n") <= FAN_IN).select(*group), group)
+    small = fits.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("_g"))
+    alone = small.filter(F.size("_g") == 1).select(*group, F.col("_g")[0]["value"].alias("value"), F.col("_g")[0]["row"].alias("row"), F.lit(1.0).alias("agreement"))
+    if several is None:
+        return alone
+    done = small.filter(F.size("_g") > 1).select(*group, F.pandas_udf(_choose, _CHOICE)("_g").alias("_c")).select(*group, "_c.*")
+    if most <= FAN_IN:
+        return alone.unionByName(done)
+    big = several.filter(F.col("_n") > FAN_IN)
     slots = F.ceil(F.col("_n") / (FAN_IN // 2))
     level = big.withColumn("_slot", F.pmod(F.xxhash64("value"), slots)).groupBy(*group, "_slot", "_n").agg(F.sort_array(F.collect_list(item)).alias("_g"))
     level = level.select(*group, "_slot", F.pandas_udf(_profile, _PROFILE)("_g").alias("_p")).select(*group, "_slot", F.col("_p"))
@@ -163,26 +171,38 @@ def survivors(values: DataFrame, group: list[str]) -> DataFrame:
         level = level.withColumn("_slot", F.floor(F.col("_slot") / FAN_IN)).groupBy(*group, "_slot").agg(F.collect_list("_p").alias("_g")).select(*group, "_slot", F.pandas_udf(_merge, _PROFILE)("_g").alias("_p"))
         if left <= 1:
             break
-    goal = level.select(*group, "_p.columns", "_p.total")
-    far = big.drop("_n").join(goal, group).withColumn("_d", F.pandas_udf(_far, "double")("value", "columns", "total"))
-    best = far.groupBy(*group).agg(F.min(F.struct("_d", (-F.col("weight")).alias("_w"), "row", "value", F.size("columns").alias("_k"))).alias("_b"))
-    return done.unionByName(best.select(*group, "_b.value", "_b.row", (1 - F.col("_b._d") / F.greatest("_b._k", F.lit(1))).alias("agreement")))
+    goal = level.select(*group, F.pandas_udf(_goal, "array<string>")("_p.columns", "_p.total").alias("_goal"))
+    far = big.drop("_n").join(goal, group).withColumn("_d", F.pandas_udf(_far, "double")("value", "_goal"))
+    best = far.groupBy(*group).agg(F.min(F.struct("_d", (-F.col("weight")).alias("_w"), "row", "value", F.size("_goal").alias("_k"))).alias("_b"))
+    best = best.select(*group, "_b.value", "_b.row", (1 - F.col("_b._d") / F.greatest("_b._k", F.lit(1))).alias("agreement"))
+    return alone.unionByName(done).unionByName(best)
 
 
 def ranked_values(rows: DataFrame, group: str, row: str, fields: list[str], day: Column, trust: dict[str, Column]) -> DataFrame:
-    """One row per group, field and distinct value: weight, representative row, and whether the field has a row that none of the
-    others excels in day or trust (``winner``, the smallest such row).
+    """One row per group, field and distinct value: its weight in the vote, its heaviest row, and ``winner``: the smallest row that no
+    other excels in day or trust (null: there is none), which takes no part in the vote. ``trust`` gives a rank per field, small is good.
 
-    Every row is one vote. A value that holds the winning row gets twice all votes on top, so that it lays out the alignment and
-    carries each column; without a winner the votes alone decide. ``trust`` gives a rank per field, small is good.
+    The weight of a row falls by the factor FALL with each later day and with each more trusted tier that its group has. The rows
+    of one day and tier share their weight: FIRST of it goes to the row that was loaded first, the rest equally to all of them. So
+    many old or doubtful reports don't outvote one good report by their number, and the votes within a day and tier still count.
     """
     long = rows.select(group, row, day.alias("_day"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"), trust[f].alias("_tier")) for f in fields])).alias("_x")).select(group, row, "_day", "_x.*")
-    long = long.filter("value is not null").withColumn("_best", F.struct(F.coalesce("_day", F.lit("0001-01-01").cast("date")).alias("day"), (-F.col("_tier")).alias("trust"), (-F.col(row)).alias("row")))
-    per_value = long.groupBy(group, "field_name", "value").agg(F.count("*").cast("double").alias("_votes"), F.min(row).alias("row"), F.max("_best").alias("_best"), F.min("_tier").alias("_tier"))
-    top = per_value.groupBy(group, "field_name").agg(F.max("_best").alias("_top"), F.min("_tier").alias("_least"), F.sum("_votes").alias("_all"))
-    joined = per_value.join(top, [group, "field_name"])
-    winner = F.when(F.col("_top.trust") == -F.col("_least"), -F.col("_top.row"))
-    joined = joined.withColumn("winner", winner)
-    holds = F.col("_best") == F.col("_top")
-    won = F.col("winner").isNotNull() & holds
-    return joined.select(group, "field_name", "value", F.when(won, F.col("winner")).otherwise(F.col("row")).alias("row"), (F.col("_votes") + F.when(won, 2 * F.col("_all")).otherwise(0.0)).alias("weight"), "winner")
+    long = long.filter("value is not null").withColumn("_day", F.coalesce("_day", F.lit("0001-01-01").cast("date")))
+    key = [group, "field_name"]
+    per = long.groupBy(*key, "value", "_day", "_tier").agg(F.count("*").alias("_n"), F.min(row).alias("_row"))
+    best = F.max(F.struct(F.col("_day").alias("day"), (-F.col("_tier")).alias("trust"), (-F.col("_row")).alias("row")))
+    top = per.groupBy(*key).agg(best.alias("_top"), F.min("_tier").alias("_least"), F.min("value").alias("_low"), F.max("value").alias("_high"), F.min("_row").alias("_first"))
+    top = top.withColumn("winner", F.when(F.col("_top.trust") == -F.col("_least"), -F.col("_top.row")))
+    alone = top.filter("_low = _high").select(*key, F.col("_low").alias("value"), F.coalesce("winner", "_first").alias("row"), F.lit(1.0).alias("weight"), "winner")
+    mixed = per.join(top.filter("_low <> _high").select(*key, "winner"), key)
+    # A group has at most as many classes as days times tiers.
+    classes = mixed.groupBy(*key, "_day", "_tier").agg(F.sum("_n").alias("n"), F.min("_row").alias("row"))
+    classes = classes.groupBy(*key).agg(F.collect_list(F.struct(F.col("_day").alias("day"), F.col("_tier").alias("tier"), "n", "row")).alias("_classes"))
+    met = mixed.join(classes, key)
+    above = lambda name, better: F.size(F.array_distinct(F.transform(F.filter("_classes", better), lambda c: c[name])))
+    behind = above("day", lambda c: c.day > F.col("_day")) + above("tier", lambda c: c.tier < F.col("_tier"))
+    mine = F.get(F.filter("_classes", lambda c: (c.day == F.col("_day")) & (c.tier == F.col("_tier"))), F.lit(0))
+    share = F.when(F.col("_row") == mine["row"], FIRST).otherwise(0.0) + (1 - FIRST) * F.col("_n") / mine["n"]
+    weighed = met.withColumn("_w", F.greatest(F.pow(F.lit(FALL), -behind) * share, F.lit(1e-300)))
+    votes = weighed.groupBy(*key, "value").agg(F.max_by("_row", F.struct(F.col("_w"), -F.col("_row"))).alias("row"), F.sum("_w").alias("weight"), F.first("winner").alias("winner"))
+    return alone.unionByName(votes)

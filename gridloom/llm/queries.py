@@ -24,7 +24,7 @@ def trust_tier(url: Column, hosts: dict[str, int]) -> Column:
         return F.lit(below)
     listed = F.create_map(*[F.lit(x) for kv in hosts.items() for x in kv])
     parts = F.split(url_host(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 64), "."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return F.coalesce(F.get(F.filter(F.transform(suffixes, lambda s: F.element_at(listed, s)), lambda t: t.isNotNull()), F.lit(0)), F.lit(below))
 
 
@@ -41,17 +41,19 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_golden(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving value of each evaluation and field: evaluation_id, field_name, value, row_id, agreement, decided_by."""
+    """The surviving value of each evaluation and field, as the weighted votes chose it: evaluation_id, field_name, value, row_id,
+    agreement, and whether the rank rule names the same row (``rank_agrees``; null: the rule names none)."""
     values = cut(_ranked(spark, d), "p4-values")
     chosen = golden.survivors(values.select("evaluation_id", "field_name", "value", "weight", "row"), ["evaluation_id", "field_name"])
-    ranks = values.filter("winner = row").select("evaluation_id", "field_name", "winner")
-    out = chosen.join(ranks, ["evaluation_id", "field_name"], "left")
-    return out.select("evaluation_id", "field_name", "value", F.col("row").alias("row_id"), F.round("agreement", 6).alias("agreement"), F.when(F.col("winner") == F.col("row"), "rank").otherwise("votes").alias("decided_by"))
+    ruled = values.filter("winner is not null").select("evaluation_id", "field_name", "winner").distinct()
+    out = chosen.join(ruled, ["evaluation_id", "field_name"], "left")
+    return out.select("evaluation_id", "field_name", "value", F.col("row").alias("row_id"), F.round("agreement", 6).alias("agreement"), (F.col("winner") == F.col("row")).alias("rank_agrees"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The survivors that rank decides, which the check confirms: no candidate is more recent and none more trusted."""
-    return p4_golden(spark, d).filter("decided_by = 'rank'").select("evaluation_id", "field_name", "row_id")
+    """The survivors that the exact rank check confirms: no candidate is more recent and none more trusted. A survivor of the vote
+    that the check doesn't confirm is no case; nothing is taken from the check itself."""
+    return p4_golden(spark, d).filter("rank_agrees").select("evaluation_id", "field_name", "row_id")
 
 
 # -- 5 ------------------------------------------------------------------------------------------------------------------------
