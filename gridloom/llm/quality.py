@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,93 +48,110 @@ MIN_ALPHA_WORDS, MIN_COMMON, MIN_LINE_ENDS = 0.8, 2, 0.12
 #: Share of the text in sentences below which it isn't prose.
 MIN_PROSE = 0.5
 
-_WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-_STRUCTURE = regex.compile(
-    r"^\s*(?:[-*•·▪‣+]\s|\d{1,3}[.)]\s|\(?[a-zA-Z\d]{1,2}\)\s|\[[ xX\d]*\]\s|\d+(?:\.\d+)+\s|\||<(?:table|tr|td|li|ul)\b|\{\s*[\"']|\d{4}-\d\d-\d\d[ T]\d\d:|[\p{L}_]{2,20}\s*[:=]\s*\S+(?:\s\S+){0,7}$)|\t.*\t|\|.*\|.*\||\.{5,}|·.*·"
+# Published line rules (C4: few words; Gopher: list lines, share of words with letters, common words; RefinedWeb: digits) as
+# thresholds of a block of running lines, and the share of separators that only enumerations reach.
+MIN_BLOCK_WORDS, MIN_BLOCK_COMMON, MIN_BLOCK_SENTENCE, MAX_BLOCK_SEPARATORS, MAX_BLOCK_DIGITS = 3, 0.18, 0.04, 0.25, 0.45
+MIN_CJK_CHARS, MIN_CJK_COMMON = 5, 0.04
+# Blocks of several short lines (FineWeb: share of lines with a sentence mark), distinct pairs of words of run-on blocks (Gopher), and the words and common words with which
+# a block with sentence marks needs no further sentence words.
+MIN_LINES, MIN_LINE_MARKS, SHORT_LINE, MAX_SENTENCE, MIN_DISTINCT_PAIRS, ENOUGH_WORDS, ENOUGH_COMMON = 3, 0.12, 36, 50, 0.3, 8, 0.3
+
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+_LIST = (
+    r"^\s*(?:[-*•·▪‣+]\s|\d{1,3}[.)]\s|\(?[a-zA-Z\d]{1,2}\)\s|\[[ xX\d]*\]\s|\d+(?:\.\d+)+\s|\||<(?:table|tr|td|li|ul|div|th)\b|\{\s*[\"']|\d{4}-\d\d-\d\d[ T]\d\d:"
+    r"|[\pL_]{2,20}\s*[:=]\s*\S+(?:\s\S+){0,7}$)|\t.*\t|\|.*\|.*\||\.{5,}|·.*·"
 )
-_HEADING = regex.compile(r"^\s*(?:#{1,6}\s.*|(?:Hello|Hi|Dear|Regards|Thanks)\b[^.]{0,30},?)\s*$")
-_QUOTE = regex.compile(r"^\s*(?:>\s?)+")
-_TAG = regex.compile(r"<(td|tr|table|li|th|ul|div)\b[^>]*>.*?(?:</\1>|$)", regex.S)
-_END = regex.compile(r"(?<=[.!?…][\"”»')]?)\s+(?=\S)|(?<=[。！？])")
-_SEPARATOR = regex.compile(r"[,;|·/\t]|(?<=\s)[-–—](?=\s)")
-_CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-
-
-def is_sentence(text: str) -> bool:
-    """Whether a piece of text between sentence marks reads as a sentence."""
-    cjk = _CJK.findall(text)
-    if cjk and len(cjk) >= 0.8 * len(regex.findall(r"[\p{Latin}\p{Cyrillic}]+", text)):
-        return len(cjk) >= 5 and sum(ch in CJK_FUNCTION for ch in cjk) >= max(1, 0.04 * len(cjk))
-    words = [w.lower().replace("’", "'").split("'")[0] if "'" in w or "’" in w else w.lower() for w in _WORD.findall(text)]
-    n = len(words)
-    if n < 3:
-        return False
-    common = sum(w in COMMON for w in words) / n
-    telling = sum(w in SENTENCE for w in words)
-    separators = len(_SEPARATOR.findall(text)) / n
-    digits = sum(ch.isdigit() for ch in text) / len(text)
-    if separators > 0.25 or digits > 0.45:
-        return False
-    if n >= 30 and len(set(zip(words, words[1:]))) < 0.3 * (n - 1):
-        return False
-    if telling and telling >= 0.04 * n and common >= 0.18:
-        return True
-    ended = text.rstrip()[-1:] in ".!?…"
-    if n >= 8 and ended and common >= 0.3 and text.lstrip("\"'«“([¿¡ ")[:1].isupper():
-        return True
-    # Languages without a list here: sentence marks, mixed word lengths and none of the common words.
-    return bool(n >= 7 and ended and common < 0.1 and separators <= 0.15 and not regex.search(r"[a-z]", text.lower()))
-
-
-def prose_share(text: str) -> float:
-    """Share of the text, headings aside, that stands in sentences. Wrapped lines of a paragraph are read as one."""
-    good = bad = 0
-    for block in regex.split(r"\n[ \t]*\n", regex.sub(r"\r\n?| | ", "\n", text)):
-        free = _TAG.sub(" ", block)
-        bad += len(block) - len(free)
-        block = free
-        lines = [_QUOTE.sub("", x) for x in block.split("\n") if x.strip()]
-        flow: list[str] = []
-        for x in lines:
-            if _HEADING.match(x):
-                continue
-            if _STRUCTURE.search(x):
-                bad += len(x)
-            else:
-                flow.append(x.strip())
-        if not flow:
-            continue
-        # A paragraph is wrapped if its lines, the last aside, are long and mostly break off in mid-sentence.
-        wrapped = len(flow) > 1 and sum(len(x) for x in flow[:-1]) >= 38 * (len(flow) - 1) and sum(x[-1] in ".!?:;。！？" for x in flow[:-1]) < 0.6 * (len(flow) - 1)
-        for unit in [" ".join(flow)] if wrapped else flow:
-            for piece in _END.split(unit):
-                if piece.strip():
-                    if is_sentence(piece):
-                        good += len(piece)
-                    else:
-                        bad += len(piece)
-    return good / (good + bad) if good + bad else 0.0
+_HEADING = r"^\s*(?:#{1,6}\s.*|(?:Hello|Hi|Dear|Regards|Thanks)\b[^.]{0,30},?)\s*$"
+_either = lambda words: " (?:" + "|".join(sorted(words)) + ") "
+
+
+def _lines(texts: pa.Array) -> tuple[pd.DataFrame, pa.Array]:
+    """One row per line of all texts: its text's number, its length and its counts. Columns are computed at once for the whole batch.
+    Also the lines' words, two spaces apart."""
+    split = pc.split_pattern_regex(texts, _BREAK)
+    line = pc.replace_substring_regex(pc.list_flatten(split), r"^\s*(?:>\s?)+", "")
+    count = lambda c, pattern: pc.count_substring_regex(c, pattern).to_numpy()
+    core = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(line), r"[^\pL\pM]+", "  "))
+    space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    bare = pc.binary_join_element_wise(space, core, space, none)
+    cjk = count(line, r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+    mixed = np.flatnonzero(cjk)
+    words = pc.count_substring(core, "  ").to_numpy() + pc.greater(pc.binary_length(core), 0).to_numpy(zero_copy_only=False)
+    latin = words.astype(np.int64)
+    latin[mixed] = count(line.take(pa.array(mixed)), r"[\p{Latin}\p{Cyrillic}]+")
+    return pd.DataFrame(
+        {
+            "line": np.arange(len(line)), "text": pc.list_parent_indices(split).to_numpy(), "chars": pc.utf8_length(pc.utf8_trim_whitespace(line)).to_numpy(), "words": words,
+            "common": count(bare, _either(COMMON)), "sentence": count(bare, _either(SENTENCE)), "separators": count(line, r"[,;|·/\t]|\s[-–—]\s"), "digits": count(line, r"\d"),
+            "cjk": cjk, "cjk_common": count(line, "[" + "".join(sorted(CJK_FUNCTION)) + "]"), "latin": latin,
+            "ends": count(line, r"[.!?…。！？।؟][\"”»')\]]*\s|[.!?…。！？।؟][\"”»')\]]*$"), "ascii": pc.match_substring_regex(line, "[A-Za-z]").to_numpy(zero_copy_only=False),
+            "listed": pc.match_substring_regex(line, _LIST).to_numpy(zero_copy_only=False), "heading": pc.match_substring_regex(line, _HEADING).to_numpy(zero_copy_only=False),
+        }
+    ), core
+
+
+_SUMS = ("chars", "words", "common", "sentence", "separators", "digits", "cjk", "cjk_common", "latin", "ends", "ascii")
+_REASONS = ("listed", "few_words", "few_common_words", "few_sentence_words", "few_sentence_marks", "repeated", "separators", "digits")
+_STATS = "prose_share double, common_words bigint, sentence_words bigint, " + ", ".join(f"{r}_share double" for r in _REASONS)
+
+
+def _judge(lines: pd.DataFrame, core: pa.Array, n: int) -> pd.DataFrame:
+    """Per text: the share of its characters, headings aside, in blocks that pass all rules, and in blocks that fail each rule.
+
+    A block is a run of lines that aren't list lines, up to a blank line, so a wrapped paragraph is judged as a whole; a list line is a block of its own."""
+    lines = lines[~lines["heading"] | (lines["chars"] == 0)]
+    text, blank, listed = lines["text"].to_numpy(), lines["chars"].to_numpy() == 0, lines["listed"].to_numpy()
+    new = np.ones(len(lines), bool)
+    new[1:] = (text[1:] != text[:-1]) | blank[1:] | blank[:-1] | listed[1:] | listed[:-1]
+    starts = np.flatnonzero(new)
+    s = {c: np.add.reduceat(lines[c].to_numpy(np.int64), starts) if len(starts) else np.zeros(0, np.int64) for c in _SUMS}
+    of, listed = text[starts], listed[starts]
+    n_lines = np.diff(np.append(starts, len(lines)))
+    words, chars = np.maximum(s["words"], 1), np.maximum(s["chars"], 1)
+    # Run-on blocks are counted by pairs of words: repeated phrases have few distinct ones.
+    repeated = np.zeros(len(starts), bool)
+    number = lines["line"].to_numpy()
+    for b in np.flatnonzero(s["words"] > MAX_SENTENCE * (s["ends"] + 1)):
+        own = [w for i in range(starts[b], starts[b] + n_lines[b]) for w in core[int(number[i])].as_py().split()]
+        repeated[b] = len(set(zip(own, own[1:]))) < MIN_DISTINCT_PAIRS * (len(own) - 1)
+    cjk = (s["cjk"] > 0) & (s["cjk"] >= 0.8 * s["latin"])
+    # Scripts without a list of common words: running text has words and sentence marks.
+    foreign = ~cjk & (s["ascii"] == 0) & (s["words"] >= 7) & (s["ends"] > 0)
+    latin = ~cjk & ~foreign
+    fails = {
+        "listed": listed,
+        "few_words": np.where(cjk, s["cjk"] < MIN_CJK_CHARS, s["words"] < MIN_BLOCK_WORDS),
+        "few_common_words": np.where(cjk, s["cjk_common"] < np.maximum(1, MIN_CJK_COMMON * s["cjk"]), latin & (s["common"] < MIN_BLOCK_COMMON * words)),
+        "few_sentence_words": latin & (s["sentence"] < np.maximum(1, MIN_BLOCK_SENTENCE * words)) & ~((s["ends"] > 0) & (s["words"] >= ENOUGH_WORDS) & (s["common"] >= ENOUGH_COMMON * words)),
+        "few_sentence_marks": latin & (n_lines >= MIN_LINES) & (s["ends"] < MIN_LINE_MARKS * n_lines) & (s["chars"] < SHORT_LINE * n_lines),
+        "repeated": repeated,
+        "separators": ~cjk & (s["separators"] > MAX_BLOCK_SEPARATORS * words),
+        "digits": s["digits"] > MAX_BLOCK_DIGITS * chars,
+    }
+    good = ~np.logical_or.reduce(list(fails.values()))
+    total = np.bincount(of, s["chars"], n)
+    share = lambda mask: np.divide(np.bincount(of[mask], s["chars"][mask], n), total, out=np.zeros(n), where=total > 0)
+    out = {"prose_share": share(good), "common_words": np.bincount(of, s["common"], n).astype(int), "sentence_words": np.bincount(of, s["sentence"], n).astype(int)}
+    return pd.DataFrame(out | {f"{r}_share": share(fails[r]) for r in _REASONS})
 
 
 def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        rows = []
-        for t in texts:
-            if t is None or not t.strip():
-                rows.append((None, 0, 0))
-                continue
-            words = [w.lower() for w in _WORD.findall(t)]
-            rows.append((prose_share(t), sum(w in COMMON for w in words), sum(w in SENTENCE for w in words)))
-        yield pd.DataFrame(rows, columns=["prose_share", "common_words", "sentence_words"])
+        column = pa.array(texts.fillna(""), pa.large_string())
+        yield _judge(*_lines(column), len(texts))
 
 
 def text_quality(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Statistics, is_prose and the reasons of failed rules for each row; counts are column expressions, sentence reading is one
-    Arrow pass. The published rules for web pages are recorded in ``failures`` by name; texts here may be single sentences, so
-    the share of the text in sentences decides, and it is recorded as ``prose_share`` where it fails."""
+    """Statistics, failed rules and is_prose for each row. Document counts are column expressions; the counts of lines and blocks are
+    made in one Arrow pass, column by column.
+
+    Each block of a text passes or fails fixed rules (list marks, words, common words, sentence words, sentence marks, repetition,
+    separators, digits); a text is prose if at least MIN_PROSE of its characters are in blocks that pass all of them. For other
+    texts ``failures`` names prose_share and, as block_*, the rules that its blocks fail. The published rules for whole web pages are
+    recorded in ``failures`` as well, but don't decide: they ask for 50 words, and texts here may be single sentences."""
     t = F.coalesce(F.col(text), F.lit(""))
     blank = ~t.rlike(r"[^\s\p{Z}\p{Cf}]")
-    out = df.select(F.col(key), t.alias("_t"), blank.alias("_blank"), F.pandas_udf(_read, "prose_share double, common_words bigint, sentence_words bigint")(F.col(text)).alias("_r")).select("*", "_r.*")
+    out = df.select(F.col(key), t.alias("_t"), blank.alias("_blank"), F.pandas_udf(_read, _STATS)(F.col(text)).alias("_r")).select("*", "_r.*")
     t = F.col("_t")
     lines = F.filter(F.split(t, r"\r\n|[\n\r]"), lambda x: F.trim(x) != "")
     n_lines = F.size(lines)
@@ -142,12 +161,13 @@ def text_quality(df: DataFrame, key: str, text: str) -> DataFrame:
         key, "_blank", F.length(t).alias("n_chars"), words.alias("n_words"), F.try_divide(F.length(F.regexp_replace(t, r"[\s\p{Z}]+", "")), words).alias("mean_word_length"),
         F.try_divide(F.regexp_count(t, F.lit(r"#|\.\.\.|…")), words).alias("symbol_ratio"), F.try_divide(F.size(F.filter(F.split(t, r"[\s\p{Z}]+"), lambda w: w.rlike(r"\p{L}"))), words).alias("alpha_word_share"),
         share(r"[.!?:;。！？…][\"”»')]*\s*$").alias("line_end_share"), share(r"^\s*([-*•·‣]|\d+[.)])\s").alias("bullet_share"), share(r"(\.\.\.|…)\s*$").alias("ellipsis_share"),
-        "common_words", F.try_divide("common_words", words).alias("common_word_share"), "sentence_words", "prose_share",
+        "common_words", F.try_divide("common_words", words).alias("common_word_share"), "sentence_words", "prose_share", *[f"{r}_share" for r in _REASONS],
     )
     rules = (
         ("too_few_words", F.col("n_words") < MIN_WORDS), ("too_many_words", F.col("n_words") > MAX_WORDS), ("mean_word_length", ~F.col("mean_word_length").between(MIN_MEAN_WORD, MAX_MEAN_WORD)),
         ("symbol_ratio", F.col("symbol_ratio") > MAX_SYMBOLS), ("bullet_share", F.col("bullet_share") > MAX_BULLETS), ("ellipsis_share", F.col("ellipsis_share") > MAX_ELLIPSES),
         ("alpha_word_share", F.col("alpha_word_share") < MIN_ALPHA_WORDS), ("common_words", F.col("common_words") < MIN_COMMON), ("line_end_share", F.col("line_end_share") < MIN_LINE_ENDS), ("prose_share", F.col("prose_share") < MIN_PROSE),
+        *[(f"block_{r}", (F.col("prose_share") < MIN_PROSE) & (F.col(f"{r}_share") > 0)) for r in _REASONS],
     )
     failures = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
     prose = F.when(~F.col("_blank"), F.col("prose_share") >= MIN_PROSE)
