@@ -43,20 +43,19 @@ def validity_runs(log: DataFrame, keys: list[str], at: str, on: Column, tie: str
     return flips.withColumn("run_end", F.lead("t").over(w)).filter("on").select(*keys, F.col("t").alias("run_start"), "run_end")
 
 
-def preceding_runs(refs: DataFrame, runs: DataFrame, code: str, at: str) -> DataFrame:
+def preceding_runs(refs: DataFrame, runs: DataFrame, code: str, at: str, slice_width: int) -> DataFrame:
     """``refs`` with ``run``, the last run of the same code that starts at or before the reference's place (null: none).
 
     Places are pairs of integers (code, at); both columns must hold no nulls. References and run starts are cut into range buckets
     of about equally many references, so that a hot code is spread by ``at`` over several; the last run that starts before a bucket
-    is carried into it (one row per bucket passes the driver). Within a bucket one sorted pass carries the last run start along.
+    is carried into it (one row per bucket passes the driver). Places of one code and slice of ``slice_width`` share a bucket. Within a bucket one sorted pass carries the last run start along.
     """
     spark = refs.sparkSession
     bounds = refs.agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).first()
     if not bounds.n:
         return refs.withColumn("run", F.lit(None).cast(_RUN))
-    width = float(bounds.hi - bounds.lo + 1)
-    # The fraction keeps the order within a code: rounding is monotone, and equal places only share a bucket.
-    place = lambda x: F.col(code) + F.least(F.greatest((F.col(x) - bounds.lo) / F.lit(width), F.lit(0.0)), F.lit(1.0))
+    slices = float((bounds.hi - bounds.lo) // slice_width + 1)
+    place = lambda x: F.col(code) + F.least(F.greatest(F.floor((F.col(x) - bounds.lo) / slice_width) / F.lit(slices), F.lit(0.0)), F.lit(1.0 - 1e-9))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), bounds.n // BUCKET_ROWS)
     placed, by = range_buckets(refs.withColumn("__gl_place", place(at)), "__gl_place", "__gl_bucket", buckets)
     starts = runs.select(F.col(code), F.col("run_start").alias(at), F.struct(F.col(code).cast("bigint").alias("code"), F.col("run_start").cast("bigint").alias("run_start"), F.col("run_end").cast("bigint").alias("run_end")).alias("run"))
@@ -76,28 +75,26 @@ def preceding_runs(refs: DataFrame, runs: DataFrame, code: str, at: str) -> Data
     return met.select(*refs.columns, F.when(F.col("run.code") == F.col(code), F.col("run")).alias("run"))
 
 
-def orphan_references(refs: DataFrame, log: DataFrame, keys: list[str], at: str, on: Column, logged_at: str, tie: str) -> DataFrame:
-    """The references whose key isn't in force at their position ``at`` by ``log``.
+def orphan_references(refs: DataFrame, runs: DataFrame, keys: list[str], at: str, slice_width: int) -> DataFrame:
+    """The references whose key lies in no run at their position ``at``; ``runs`` are those of ``validity_runs``.
 
-    The log's distinct keys become dense integers in sort order; a key's log becomes contiguous runs of (key, time) places in which
-    it is in force. A reference is matched to its preceding run start and reported if it lies at or beyond that run's end. A
-    key that the log doesn't hold, or a position that is null, makes an orphan at once.
+    The distinct keys of the runs become dense integers in sort order, so that a parent is a contiguous run of integer places (key,
+    position). A reference is matched to its preceding run start and reported if it lies at or beyond that run's end. A key that
+    no run holds, or a position that is null, makes an orphan at once.
     """
-    codes = dense_ranks(log, keys, "__gl_code")
-    codes = checked_broadcast(cut(codes, "codes"))
-    held = log.join(codes, keys)
-    runs = cut(validity_runs(held, ["__gl_code"], logged_at, on, tie), "runs")
+    codes = checked_broadcast(cut(dense_ranks(runs, keys, "__gl_code"), "codes"))
+    spans = cut(runs.join(codes, keys).select("__gl_code", "run_start", "run_end"), "runs")
     coded = cut(refs.join(codes, keys, "left"), "references")
     placeless = F.col("__gl_code").isNull() | F.col(at).isNull()
-    met = preceding_runs(coded.filter(~placeless), runs, "__gl_code", at)
+    met = preceding_runs(coded.filter(~placeless), spans, "__gl_code", at, slice_width)
     beyond = F.col("run").isNull() | F.coalesce(F.col(at) >= F.col("run.run_end"), F.lit(False))
     return coded.filter(placeless).select(*refs.columns).unionByName(met.filter(beyond).select(*refs.columns))
 
 
-def orphans_of_integers(refs: DataFrame, ref: str, runs: DataFrame) -> DataFrame:
+def orphans_of_integers(refs: DataFrame, ref: str, runs: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Rows whose integer reference lies in no run of parent keys: as-of match to the preceding run start, report beyond run end.
     Null references are none."""
     place = refs.filter(F.col(ref).isNotNull()).withColumn("__gl_code", F.lit(0).cast("bigint")).withColumn("__gl_at", F.col(ref).cast("bigint"))
     spans = runs.select(F.lit(0).cast("bigint").alias("__gl_code"), "run_start", (F.col("run_end") + 1).alias("run_end"))
-    met = preceding_runs(place, spans, "__gl_code", "__gl_at")
+    met = preceding_runs(place, spans, "__gl_code", "__gl_at", block)
     return met.filter(F.col("run").isNull() | (F.col("__gl_at") >= F.col("run.run_end"))).select(*refs.columns)

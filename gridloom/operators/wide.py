@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from gridloom.operators.ranks import dense_ranks
 from gridloom.runtime import checked_broadcast, cut
 
-#: Attributes per page of the grid. A page is one shuffled array, so that no row holds more than this many cells at once.
-PAGE = 64
+#: Attributes per block of the grid. A block is one shuffled array, so that no row holds more than this many cells at once.
+BLOCK = 64
 
 
 def attribute_positions(cells: DataFrame, attribute: str) -> DataFrame:
@@ -23,49 +23,54 @@ def attribute_positions(cells: DataFrame, attribute: str) -> DataFrame:
 
 
 def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, order: str, positions: DataFrame) -> DataFrame:
-    """The completed grid, one row per entity: ``pages``, the array of all pages of all attributes, each an array of PAGE strings.
+    """The grid by blocks: entity, block, cells (array of BLOCK strings, sorted by attribute position; null: no value).
 
-    Cells are aggregated first, so a hot entity or attribute shuffles one row per cell. The cells of a page are collected, sorted by
-    attribute position, and each position of the page takes its value from them or null (a left join within the row). Then each
-    entity's row is completed to every page there is in the same way: a page without any value stands in its place as one null,
-    which is read as null cells, so that completing costs one slot per page and nothing is shuffled for it.
+    Cells are aggregated first, so a hot entity or attribute shuffles one row per cell. The cells of a block are collected, sorted by
+    attribute position, and each position of the block takes its value from them or null: a left join of the positions to the values, within the
+    row. Blocks that an entity doesn't touch are not shuffled; ``complete_rows`` puts them in place.
     """
-    last = positions.agg(F.max("position")).first()[0]
-    pages = 0 if last is None else last // PAGE + 1
     cells = rows.groupBy(entity, attribute).agg(F.max_by(value, order).alias("__gl_v"))
     # Distinct attributes; broadcast only where a count proves them few.
-    at = cells.join(checked_broadcast(positions), attribute, "left")
-    held = at.groupBy(entity, F.floor(F.col("position") / PAGE).cast("int").alias("__gl_page")).agg(
-        F.array_sort(F.collect_list(F.struct((F.col("position") % PAGE).cast("int").alias("i"), F.col("__gl_v").alias("v")))).alias("__gl_cells")
-    )
-    full = held.select(entity, "__gl_page", _complete(F.col("__gl_cells"), "i", "v", PAGE).alias("cells"))
-    rows_ = full.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("__gl_page", "cells"))).alias("__gl_pages"))
-    return rows_.select(entity, _complete(F.col("__gl_pages"), "__gl_page", "cells", pages).alias("pages"))
+    at = cells.join(checked_broadcast(positions), attribute, "left").filter("position is not null")
+    cell = F.struct((F.col("position") % BLOCK).cast("int").alias("i"), F.col("__gl_v").alias("v"))
+    held = at.groupBy(entity, F.floor(F.col("position") / BLOCK).cast("int").alias("block")).agg(F.array_sort(F.collect_list(cell)).alias("__gl_cells"))
+    return held.select(entity, "block", _complete(F.col("__gl_cells"), "i", "v", BLOCK).alias("cells"))
+
+
+def complete_rows(grid: DataFrame, entity: str, blocks: int) -> DataFrame:
+    """The completed grid, one row per entity: ``blocks``, the array of all blocks of all attributes. A block without any value stands
+    in its place as one null, which is read as null cells, so that completing costs a slot per block and no shuffle of its own."""
+    held = grid.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("block", "cells"))).alias("__gl_blocks"))
+    return held.select(entity, _complete(F.filter("__gl_blocks", lambda b: b.block < blocks), "block", "cells", blocks).alias("blocks"))
 
 
 def _complete(held: Column, place: str, value: str, size: int) -> Column:
     """The values of an array sorted by ``place``, each at its place, with a null at each place below ``size`` that has none."""
     nulls = lambda n: F.array_repeat(F.when(F.lit(False), F.get(held, F.lit(0))[value]), n)
     before = lambda k: F.coalesce(F.get(held, k - 1)[place], F.lit(-1))
+    last = F.coalesce(F.get(held, F.size(held) - 1)[place], F.lit(-1))
     filled = F.flatten(F.transform(held, lambda x, k: F.concat(nulls(x[place] - before(k) - 1), F.array(x[value]))))
-    return F.concat(filled, nulls(F.lit(size - 1) - F.get(held, F.size(held) - 1)[place]))
+    return F.concat(filled, nulls(F.lit(size - 1) - last))
 
 
 def wide_table(grid: DataFrame, entity: str, columns: list[tuple[str, int | None, str]]) -> DataFrame:
     """One row per entity: for each (name, position, type) the cell at its fixed index, through a try cast to its type. A column
     without a position (no row has its attribute) is null."""
-    cell = lambda p: F.get(F.get("pages", F.lit(p // PAGE)), F.lit(p % PAGE))
-    return grid.select(entity, *[(cell(p) if p is not None else F.lit(None).cast("string")).try_cast(t).alias(n) for n, p, t in columns])
+    rows = complete_rows(grid, entity, 1 + max((p // BLOCK for _, p, _ in columns if p is not None), default=0))
+    cell = lambda p: F.get(F.get("blocks", F.lit(p // BLOCK)), F.lit(p % BLOCK))
+    return rows.select(entity, *[(cell(p) if p is not None else F.lit(None).cast("string")).try_cast(t).alias(n) for n, p, t in columns])
 
 
-def read_pages(grid: DataFrame, entity: str, attribute: str, positions: DataFrame, kind: str = "double") -> DataFrame:
-    """The cells of all attributes that ``kind`` can hold, as entity, attribute and value, read from the wide rows page by page.
+def unpivot_grid(grid: DataFrame, entity: str, attribute: str, positions: DataFrame, kind: str = "double") -> DataFrame:
+    """The cells of all attributes that ``kind`` can hold, as entity, attribute and value, read from the completed rows.
 
-    Each page is projected to PAGE typed columns by fixed indices, as ``wide_table`` projects the columns it is given by name, and
-    the typed columns are stacked. This reads a table of more columns than a plan can name.
+    Each block of a row is projected to BLOCK typed columns by fixed indices, as ``wide_table`` projects the columns it is given by name,
+    and the typed columns are stacked. This reads a table of more columns than a plan can name.
     """
-    paged = grid.select(entity, F.posexplode("pages").alias("__gl_page", "__gl_cells")).filter("__gl_cells is not null")
-    typed = paged.select(entity, "__gl_page", *[F.get("__gl_cells", F.lit(i)).try_cast(kind).alias(f"__gl_{i}") for i in range(PAGE)])
-    long = typed.select(entity, "__gl_page", F.posexplode(F.array(*[f"__gl_{i}" for i in range(PAGE)])).alias("__gl_i", "value")).filter("value is not null")
-    long = long.select(entity, (F.col("__gl_page") * PAGE + F.col("__gl_i")).cast("bigint").alias("position"), "value")
+    last = positions.agg(F.max("position")).first()[0]
+    rows = complete_rows(grid, entity, 0 if last is None else last // BLOCK + 1)
+    each = rows.select(entity, F.posexplode("blocks").alias("__gl_block", "__gl_cells")).filter("__gl_cells is not null")
+    typed = each.select(entity, "__gl_block", *[F.get("__gl_cells", F.lit(i)).try_cast(kind).alias(f"__gl_{i}") for i in range(BLOCK)])
+    long = typed.select(entity, "__gl_block", F.posexplode(F.array(*[f"__gl_{i}" for i in range(BLOCK)])).alias("__gl_i", "value")).filter("value is not null")
+    long = long.select(entity, (F.col("__gl_block") * BLOCK + F.col("__gl_i")).cast("bigint").alias("position"), "value")
     return long.join(checked_broadcast(positions), "position").select(entity, attribute, "value")

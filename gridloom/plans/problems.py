@@ -9,6 +9,7 @@ from gridloom.functions.values import PLACEHOLDERS, states_value
 from gridloom.operators import fill, orphans, units, wide
 from gridloom.runtime import cut, small_collect, table
 
+DAY_US = 86_400_000_000
 SCORE_COLUMNS = ("score", "metric_name", "metric", "metric_max_score")
 #: Columns of the wide table, which the registry of benchmarks names.
 MAX_COLUMNS = 5_000
@@ -29,7 +30,7 @@ def _scored_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The completed grid of all models and all spellings of benchmarks, and the positions of the spellings."""
+    """The grid of all models and all spellings of benchmarks, and the positions of the spellings."""
     named = table(spark, d, "results").filter(states_value(F.col("benchmark_id")))
     positions = wide.attribute_positions(named, "benchmark_id")
     return wide.attribute_grid(_scored_cells(spark, d), "model_name", "benchmark_id", "number", "row_id", positions), positions
@@ -38,7 +39,7 @@ def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The cells of the wide table that hold a number, read from its typed columns: model_name, benchmark_id."""
     grid, positions = _grid(spark, d)
-    return wide.read_pages(grid, "model_name", "benchmark_id", positions).select("model_name", "benchmark_id")
+    return wide.unpivot_grid(grid, "model_name", "benchmark_id", positions).select("model_name", "benchmark_id")
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def p1_wide(spark: SparkSession, d: str) -> DataFrame:
     rows = small_collect(registered.join(positions, "benchmark_id", "left"), MAX_COLUMNS, "benchmarks")
     table_ = wide.wide_table(grid, "model_name", [(r.benchmark_id, r.position, "double") for r in sorted(rows)])
     tail = positions.join(F.broadcast(registered), "benchmark_id", "left_anti")  # registered: at most MAX_COLUMNS rows
-    other = wide.read_pages(grid, "model_name", "benchmark_id", tail)
+    other = wide.unpivot_grid(grid, "model_name", "benchmark_id", tail)
     other = other.groupBy("model_name").agg(F.map_from_entries(F.collect_list(F.struct("benchmark_id", "value"))).alias("other_benchmarks"))
     return table_.join(other, "model_name", "left")
 
@@ -120,7 +121,8 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
     refs = refs.filter(states_value(F.col("key")))
     log = table(spark, d, "registry_log").filter("key_value is not null and table_name is not null")
     log = log.select(F.col("table_name").alias("ref_table"), F.col("key_value").alias("key"), "action", F.unix_micros(F.col("logged_at").cast("timestamp")).alias("at"), "log_id")
-    return orphans.orphan_references(refs, log, ["ref_table", "key"], "t", F.col("action") == "added", "at", "log_id")
+    runs = cut(orphans.validity_runs(log, ["ref_table", "key"], "at", F.col("action") == "added", "log_id"), "p3-runs")
+    return orphans.orphan_references(refs, runs, ["ref_table", "key"], "t", DAY_US)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

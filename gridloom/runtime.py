@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -54,11 +55,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own.
+
+    On a cluster a folder of the driver's machine would be another one on each executor, so there an unset folder is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("spark.gridloom.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by all executors of {master}")
         at = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.gridloom.dir", at)
     return at.rstrip("/")
