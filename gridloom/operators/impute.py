@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from gridloom.runtime import cut
 
 #: Items of a matrix that algebra on the driver takes: p x p doubles are 200 MB there.
 MAX_ITEMS = 5_000
+#: Groups in which the tasks' blocks of sums are added before the driver adds them, and passes at one point of a lambda path at most.
+SLOTS, PATH_PASSES = 16, 5
 
 
 @dataclass
@@ -86,49 +89,90 @@ def _left(b: np.ndarray, idx: np.ndarray, val: np.ndarray, lam: float) -> np.nda
     return np.linalg.solve(own.T @ own + lam * np.eye(b.shape[1]), own.T @ val)
 
 
-def _right_sums(packed: DataFrame, b: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per item the normal matrix (r x r) and vector (r) of its ridge regression on the rows' left factors: each task solves its rows
-    against the broadcast right factor and returns one block of sums, so no row leaves its task."""
-    p, r = b.shape
-    held = packed.sparkSession.sparkContext.broadcast(b)
+def _add_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x) for x in pdf["block"])
+    return pd.DataFrame({"k": pdf["k"].iloc[:1].to_numpy(), "slot": pdf["slot"].iloc[:1].to_numpy(), "block": [total.tobytes()]})
+
+
+def _passes(packed: DataFrame, factors: list[np.ndarray], lam: float) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+    """For each right factor, per item the normal matrix (r x r) and vector (r) of its ridge regression on the rows' left factors, and the
+    squared error and number of the rows' held-out cells (``hidx``, ``hval``, where present).
+
+    Each task solves its rows against the broadcast factors and returns one block of sums a factor; the blocks are added in SLOTS groups
+    on the cluster, so no row leaves its task and the driver adds SLOTS blocks however many tasks there are.
+    """
+    held = packed.sparkSession.sparkContext.broadcast(factors)
+    scored = "hidx" in packed.columns
+    blocks = "k int, slot int, block binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = held.value
-        normal, right = np.zeros((p, r, r)), np.zeros((p, r))
+        factors = held.value
+        sums = [(np.zeros((len(b), b.shape[1], b.shape[1])), np.zeros(b.shape), np.zeros(2)) for b in factors]
         for pdf in batches:
-            for idx, val in zip(pdf["idx"], pdf["val"]):
+            out = zip(pdf["hidx"], pdf["hval"]) if scored else [(None, None)] * len(pdf)
+            for idx, val, (hidx, hval) in zip(pdf["idx"], pdf["val"], out):
                 idx, val = np.asarray(idx, int), np.asarray(val, float)
-                a = _left(b, idx, val, lam)
-                normal[idx] += np.outer(a, a)
-                right[idx] += val[:, None] * a
-        yield pd.DataFrame({"normal": [normal.ravel().tolist()], "right": [right.ravel().tolist()]})
+                for b, (normal, right, error) in zip(factors, sums):
+                    a = _left(b, idx, val, lam)
+                    normal[idx] += np.outer(a, a)
+                    right[idx] += val[:, None] * a
+                    if hidx is not None and len(hidx):
+                        error += (((b[np.asarray(hidx, int)] @ a - np.asarray(hval, float)) ** 2).sum(), len(hidx))
+        slot = TaskContext.get().partitionId() % SLOTS
+        yield pd.DataFrame({"k": range(len(sums)), "slot": slot, "block": [np.concatenate([x.ravel() for x in three]).tobytes() for three in sums]})
+
+    parts = packed.mapInPandas(run, blocks).groupBy("k", "slot").applyInPandas(_add_blocks, blocks).collect()
+    got = []
+    for k, b in enumerate(factors):
+        p, r = b.shape
+        total = sum((np.frombuffer(x.block) for x in parts if x.k == k), np.zeros(p * r * r + p * r + 2))
+        got.append((total[: p * r * r].reshape(p, r, r), total[p * r * r : -2].reshape(p, r), total[-2], total[-1]))
+    return got
 
-    parts = packed.mapInPandas(run, "normal array<double>, right array<double>").collect()
-    return sum(np.array(x.normal).reshape(p, r, r) for x in parts), sum(np.array(x.right).reshape(p, r) for x in parts)
 
+def _right_sums(packed: DataFrame, b: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    return _passes(packed, [b], lam)[0][:2]
 
-def softimpute(cells: DataFrame, rank: int = 5, lam: float | None = None, passes: int = 8) -> DataFrame:
-    """Nuclear-norm matrix completion at a rank cap, over column-standardised cells.
 
-    The nuclear norm of a rank-r matrix AB' is the smallest (|A|^2 + |B|^2) / 2, so alternating ridge regressions of rows and items
-    solve it. Rows stay distributed; the driver holds the p x r right factor. ``lam`` defaults to a fiftieth of the largest singular
-    value of the zero-filled matrix; the start is its leading eigenvectors.
-    """
-    packed, mu, sd, items = _rows_of(cells)
-    packed = cut(packed, "softimpute-rows")
-    p = len(items)
-    r = max(1, min(rank, p))
+def _next_right(normal: np.ndarray, right: np.ndarray, lam: float) -> np.ndarray:
+    return np.linalg.solve(normal + lam * np.eye(right.shape[1]), right[:, :, None])[:, :, 0]
+
+
+def _spectrum(packed: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of the zero-filled matrix, largest first, and its right singular vectors."""
     gram = np.zeros((p, p))
     pairs = packed.select("idx", "val", F.posexplode("idx").alias("_k", "i")).select("i", F.get("val", F.col("_k")).alias("x"), F.explode(F.arrays_zip("idx", "val")).alias("b"))
     for g in pairs.groupBy("i", F.col("b.idx").alias("j")).agg(F.sum(F.col("x") * F.col("b.val")).alias("s")).collect():
         gram[g.i, g.j] = g.s
     w, q = np.linalg.eigh(gram)
-    top = np.sqrt(np.maximum(w[::-1][:r], 1e-9))
-    b = q[:, ::-1][:, :r] * np.sqrt(top)
+    return np.sqrt(np.maximum(w[::-1], 1e-9)), q[:, ::-1]
+
+
+def softimpute(cells: DataFrame, rank: int = 5, lam: float | None = None, passes: int = 100, tol: float = 1e-3) -> DataFrame:
+    """Nuclear-norm matrix completion at a rank cap, over column-standardised cells.
+
+    The nuclear norm of a rank-r matrix AB' is the smallest (|A|^2 + |B|^2) / 2, so alternating ridge regressions of rows and items
+    solve it, until the right factor moves by less than ``tol`` of its size. Rows stay distributed; the driver holds the p x r right
+    factor. ``lam`` defaults to a fiftieth of the largest singular value of the zero-filled matrix; the start is its leading
+    eigenvectors. ``softimpute_path`` chooses ``lam`` by held-out cells.
+    """
+    packed, mu, sd, items = _rows_of(cells)
+    packed = cut(packed, "softimpute-rows")
+    r = max(1, min(rank, len(items)))
+    top, q = _spectrum(packed, len(items))
+    b = q[:, :r] * np.sqrt(top[:r])
     lam = float(top[0]) / 50 if lam is None else lam
     for _ in range(passes):
-        normal, right = _right_sums(packed, b, lam)
-        b = np.linalg.solve(normal + lam * np.eye(r), right[:, :, None])[:, :, 0]
+        now = _next_right(*_right_sums(packed, b, lam), lam)
+        still = np.linalg.norm(now - b) <= tol * np.linalg.norm(b)
+        b = now
+        if still:
+            break
+    return _completed(cells, packed, b, lam, mu, sd, items)
+
+
+def _completed(cells: DataFrame, packed: DataFrame, b: np.ndarray, lam: float, mu: dict, sd: dict, items: list) -> DataFrame:
+    """The whole grid: observed cells as they are, the others from the right factor and their row's left factor."""
     held = cells.sparkSession.sparkContext.broadcast((b, lam, np.array([mu[c] for c in items]), np.array([sd[c] for c in items])))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,12 +182,47 @@ def softimpute(cells: DataFrame, rank: int = 5, lam: float | None = None, passes
             yield pd.DataFrame({"row_key": pdf["row_key"], "p": out})
 
     kinds = dict(cells.dtypes)
-    wide = packed.mapInPandas(predict, f"row_key {kinds['row_key']}, p array<double>")
+    wide = packed.select("row_key", "idx", "val").mapInPandas(predict, f"row_key {kinds['row_key']}, p array<double>")
     names = F.array(*[F.lit(c).cast(kinds["col_key"]) for c in items])
     long = wide.select("row_key", F.posexplode("p").alias("_i", "p")).select("row_key", F.get(names, F.col("_i")).alias("col_key"), "p")
     return long.join(cells.select("row_key", "col_key", "value"), ["row_key", "col_key"], "left").select("row_key", "col_key", F.coalesce("value", "p").alias("value"))
 
 
+def softimpute_path(cells: DataFrame, ranks: tuple[int, ...] = tuple(range(1, 11)), seed: int = 1, steps: int = 30, tol: float = 1e-2) -> Imputation:
+    """Rank caps by held-out score, each at its best point of a path of ``steps`` values of lambda.
+
+    The path falls evenly on a log scale from the largest singular value of the training cells to a hundredth of it; each point
+    starts from the one before. All rank caps move along it together, one job a pass. A rank's lambda is the one of the smallest
+    rmse of held-out cells; its score is that of the masked fit there. The best rank is fitted again to all cells at its lambda.
+    """
+    marked = cut(holdout(cells, seed=seed), "held")
+    train, held = marked.filter("not held").drop("held"), marked.filter("held").drop("held")
+    packed, mu, sd, items = _rows_of(train)
+    place = train.sparkSession.createDataFrame([(c, i, mu[c], sd[c]) for i, c in enumerate(items)], T.StructType([*train.select("col_key").schema.fields, T.StructField("_i", T.IntegerType()), T.StructField("_mu", T.DoubleType()), T.StructField("_sd", T.DoubleType())]))
+    away = held.join(F.broadcast(place), "col_key").groupBy("row_key").agg(F.collect_list("_i").alias("hidx"), F.collect_list((F.col("value") - F.col("_mu")) / F.col("_sd")).alias("hval"))
+    rows = cut(packed.join(away, "row_key", "left"), "path-rows")
+    top, q = _spectrum(rows, len(items))
+    ranks = tuple(sorted({max(1, min(int(r), len(items))) for r in ranks}))
+    now = [q[:, :r] * np.sqrt(top[:r]) for r in ranks]
+    best: list[tuple[float, float, np.ndarray]] = [(math.inf, float(top[0]), b) for b in now]
+    for lam in np.geomspace(top[0], top[0] / 100, steps):
+        for _ in range(PATH_PASSES):
+            got = _passes(rows, now, float(lam))
+            errors = [math.sqrt(e / n) if n else math.inf for _, _, e, n in got]
+            fitted = now
+            now = [_next_right(n, r, float(lam)) for n, r, _, _ in got]
+            if all(np.linalg.norm(x - y) <= tol * max(1e-9, np.linalg.norm(y)) for x, y in zip(now, fitted)):
+                break
+        best = [min(old, (e, float(lam), b), key=lambda x: x[0]) for old, e, b in zip(best, errors, fitted)]
+    curve = []
+    for r, (_, lam, b) in zip(ranks, best):
+        s = score(held, _completed(train, rows, b, lam, mu, sd, items), train).first()
+        curve.append((float(r), math.inf if s.rmse is None else s.rmse, s.r2))
+    k = min(range(len(ranks)), key=lambda i: (curve[i][1], ranks[i]))
+    at = dict(zip(ranks, (lam for _, lam, _ in best)))
+    return Imputation(softimpute(cells, ranks[k], at[ranks[k]]), float(ranks[k]), "rank", curve, lambda r: softimpute(cells, int(r), at.get(int(r))))
+
+
 def _driver_matrix(cells: DataFrame) -> tuple[np.ndarray, list, list]:
     """A dense matrix on the driver for kernels that are sequential over columns; at most 2 million cells."""
     rows = cells.select("row_key", "col_key", "value").filter("value is not null").limit(2_000_001).collect()
@@ -264,10 +343,25 @@ def forest_impute(cells: DataFrame, trees: int = 50, rounds: int = 10, depth: in
     return _to_cells(cells, now, rk, ck)
 
 
+def one_sided(cells: DataFrame, rank: int, iters: int = 2000, seed: int = 1) -> DataFrame:
+    """Empty cells take their conditional mean given the row's cells under the one-sided fit of the items' covariance."""
+    from gridloom.operators import osmc
+
+    seen = cells.filter("value is not null").select("row_key", "col_key", "value")
+    stats = cut(moments(seen), "moments")
+    z = cut(seen.join(stats, "col_key").select("row_key", "col_key", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("value")), "z")
+    t = osmc.pair_table(z)
+    given = z.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("col_key", "value"))).alias("given"))
+    empty = grid(cells).filter("value is null").select("row_key", "col_key").join(given, "row_key", "left")
+    filled = osmc.predict(empty, osmc.fit(t, min(rank, len(t.items)), iters, seed=seed), t.items).join(stats, "col_key")
+    return seen.unionByName(filled.select("row_key", "col_key", (F.col("value") * F.col("sd") + F.col("mu")).alias("value")))
+
+
 IMPUTERS: dict[str, tuple[str, tuple[float, ...], Callable[[DataFrame, float], DataFrame]]] = {
     "mean": ("none", (0,), lambda c, _: mean_impute(c)),
     "knn": ("k", tuple(range(1, 11)), lambda c, k: knn_impute(c, int(k))),
     "softimpute": ("rank", tuple(range(1, 11)), lambda c, r: softimpute(c, int(r))),
+    "onesided": ("rank", tuple(range(1, 11)), lambda c, r: one_sided(c, int(r))),
     "mice": ("m", (5, 10, 20), lambda c, m: chained_equations(c, int(m))),
     "missforest": ("ntree", (50, 100, 200, 400), lambda c, n: forest_impute(c, int(n))),
 }
@@ -276,6 +370,8 @@ IMPUTERS: dict[str, tuple[str, tuple[float, ...], Callable[[DataFrame, float], D
 def impute(cells: DataFrame, method: str, params: tuple[float, ...] | None = None, seed: int = 1) -> Imputation:
     """Completes with the parameter of the smallest balanced held-out rmse; a failing or undefined score counts as infinite."""
     name, grid_, run = IMPUTERS[method]
+    if method == "softimpute":
+        return softimpute_path(cells, tuple(int(p) for p in params or grid_), seed)
     marked = cut(holdout(cells, seed=seed), "held")
     train, held = marked.filter("not held").drop("held"), marked.filter("held").drop("held")
     curve = []

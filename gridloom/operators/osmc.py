@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import cut
+
 from gridloom.operators.impute import MAX_ITEMS
 
 
@@ -93,42 +95,88 @@ def full_completion(cells: DataFrame, rank: int, lam: float = 0.1, passes: int =
     from gridloom.operators.impute import _right_sums, _rows_of
 
     packed, _, _, items = _rows_of(cells)
-    packed = packed.cache()
+    packed = cut(packed, "completion-rows")
     b = np.random.default_rng(1).standard_normal((len(items), rank)) * 0.1
     for _ in range(passes):
         normal, right = _right_sums(packed, b, lam)
         b = np.linalg.solve(normal + lam * np.eye(rank), right[:, :, None])[:, :, 0]
-    packed.unpersist()
     return np.linalg.qr(b)[0]
 
 
 def predict(given: DataFrame, v: np.ndarray, items: list) -> DataFrame:
     """(row_key, col_key, value) for cells with their conditioning sets: the conditional mean V_j' pinv(V_S) z_S."""
-    held = given.sparkSession.sparkContext.broadcast((v, {c: i for i, c in enumerate(items)}))
+    return predict_each(given, [v], items).select("row_key", "col_key", F.col("values")[0].alias("value"))
+
+
+def predict_each(given: DataFrame, factors: list[np.ndarray], items: list) -> DataFrame:
+    """``predict`` under several factors at once: (row_key, col_key, values). The pseudo-inverse is made once for each conditioning set of a batch."""
+    held = given.sparkSession.sparkContext.broadcast((factors, {c: i for i, c in enumerate(items)}))
     kinds = dict(given.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, at = held.value
+        factors, at = held.value
         for pdf in batches:
+            known: dict[tuple, list[np.ndarray]] = {}
             out = []
             for c, g in zip(pdf["col_key"], pdf["given"]):
                 use = [(at[x["col_key"]], x["value"]) for x in (g if g is not None else []) if x["col_key"] in at]
-                out.append(float(v[at[c]] @ np.linalg.pinv(v[[i for i, _ in use]]) @ np.array([z for _, z in use])) if use and c in at else 0.0)
-            yield pd.DataFrame({"row_key": pdf["row_key"], "col_key": pdf["col_key"], "value": out})
+                if not use or c not in at:
+                    out.append([0.0] * len(factors))
+                    continue
+                place, z = tuple(i for i, _ in use), np.array([x for _, x in use])
+                if place not in known:
+                    known[place] = [np.linalg.pinv(v[list(place)]) for v in factors]
+                out.append([float(v[at[c]] @ (inverse @ z)) for v, inverse in zip(factors, known[place])])
+            yield pd.DataFrame({"row_key": pdf["row_key"], "col_key": pdf["col_key"], "values": out})
 
-    return given.select("row_key", "col_key", "given").mapInPandas(run, f"row_key {kinds['row_key']}, col_key {kinds['col_key']}, value double")
+    return given.select("row_key", "col_key", "given").mapInPandas(run, f"row_key {kinds['row_key']}, col_key {kinds['col_key']}, values array<double>")
 
 
 def select_rank(t: PairTable, given: DataFrame, held: DataFrame, ranks: range = range(1, 11), iters: int = 1000) -> tuple[int, list[tuple[int, float]]]:
-    """The rank of the smallest held-out rmse of z-values; 1 if nothing is held out."""
-    curve = []
-    for r in ranks:
-        p = predict(given, fit(t, r, iters), t.items).withColumnRenamed("value", "p")
-        e = held.join(p, ["row_key", "col_key"]).agg(F.sqrt(F.avg(F.pow(F.col("p") - F.col("value"), 2)))).first()[0]
-        curve.append((r, float("inf") if e is None else e))
+    """The rank of the smallest held-out rmse of z-values; 1 if nothing is held out. All ranks are scored in one job."""
+    p = predict_each(given, [fit(t, r, iters) for r in ranks], t.items)
+    e = held.select("row_key", "col_key", "value").join(p, ["row_key", "col_key"])
+    got = e.agg(*[F.sqrt(F.avg(F.pow(F.col("values")[i] - F.col("value"), 2))).alias(str(r)) for i, r in enumerate(ranks)]).first()
+    curve = [(r, float("inf") if got[str(r)] is None else got[str(r)]) for r in ranks]
     return (min(curve, key=lambda c: (c[1], c[0]))[0] if any(np.isfinite(e) for _, e in curve) else 1), curve
 
 
+def run_onesided(cells: DataFrame, ranks: range = range(1, 11), seed: int = 1, iters: int = 2000) -> tuple[int, list[tuple[int, float]], DataFrame]:
+    """The rank of the smallest held-out rmse, the curve over all ranks, and the surrogate table of the fit of all cells at that rank.
+    The held-out cells are drawn by ``seed``; selection fits take half the iterations, at least 1,000."""
+    from gridloom.operators import holdout
+
+    z, stats = _z_cells(cells)
+    marked = cut(holdout.holdout(z, "row_key", seed=seed), "onesided")
+    train = pair_table(marked.filter("not held").drop("held"))
+    best, curve = select_rank(train, holdout.conditioning_sets(marked), marked.filter("held"), ranks, max(1000, iters // 2))
+    t = pair_table(z)
+    moments = {r.col_key: r for r in stats.collect()}  # one row per item
+    mu, sd = (np.array([getattr(moments[c], f) for c in t.items]) for f in ("mu", "sd"))
+    return best, curve, surrogate(z.select("row_key").distinct(), fit(t, best, iters, seed=seed), t.items, mu, sd, seed)
+
+
+def _z_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    from gridloom.operators import holdout
+
+    seen = cells.filter("value is not null")
+    stats = cut(holdout.moments(seen), "moments")
+    return cut(seen.join(stats, "col_key").select("row_key", "col_key", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("value")), "z"), stats
+
+
+def sensitivity(cells: DataFrame, ranks: range = range(1, 11), seeds: int = 20, iters: int = 1000) -> list[tuple[int, int, int, float]]:
+    """(seed, chosen rank, rank, rmse) over fresh holdouts: the data isn't missing at random, so the spread over seeds is the message."""
+    from gridloom.operators import holdout
+
+    z, _ = _z_cells(cells)
+    out = []
+    for seed in range(1, seeds + 1):
+        marked = cut(holdout.holdout(z, "row_key", seed=seed), "onesided")
+        best, curve = select_rank(pair_table(marked.filter("not held").drop("held")), holdout.conditioning_sets(marked), marked.filter("held"), ranks, iters)
+        out += [(seed, best, r, e) for r, e in curve]
+    return out
+
+
 def surrogate(rows: DataFrame, v: np.ndarray, items: list, mu: np.ndarray, sd: np.ndarray, seed: int = 1) -> DataFrame:
     """Random rows with the fitted covariance: z Q sqrt(L)' per row, rescaled; negative eigenvalues count as zero."""
     w, q = np.linalg.eigh(v @ v.T)

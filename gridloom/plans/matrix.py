@@ -276,12 +276,12 @@ def knn_impute(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def softimpute_complete(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(impute.softimpute(cs(spark, d), 3, passes=4), "value")
+    return _rounded(impute.softimpute(cs(spark, d), 3), "value")
 
 
 @query()
 def softimpute_sweep(spark: SparkSession, d: str) -> DataFrame:
-    got = impute.impute(ud(spark, d), "softimpute", (1, 2, 3))
+    got = impute.impute(ud(spark, d), "softimpute")
     return spark.createDataFrame([(float(p), float(e), float(q)) for p, e, q in got.curve], "param double, rmse double, r2 double").withColumn("best", F.col("param") == got.best)
 
 
@@ -303,6 +303,27 @@ def sensitivity_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # -- one-sided completion -------------------------------------------------------------------------------------------------------
 
+
+
+@query()
+def osmc_run(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out rmse per rank of the user x event type cells, and the rank that the surrogate table is made at."""
+    best, curve, _ = osmc.run_onesided(ut(spark, d), range(1, 6))
+    return spark.createDataFrame([(r, float(e), r == best) for r, e in curve], "rank int, rmse double, best boolean")
+
+
+@query()
+def osmc_surrogate(spark: SparkSession, d: str) -> DataFrame:
+    """The surrogate table at the selected rank: a row for each user, with a value for each day of the year."""
+    return osmc.run_onesided(ud(spark, d))[2]
+
+
+@query()
+def osmc_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """Curves over ranks of 20 fresh holdouts, with the rank that each chooses."""
+    return spark.createDataFrame(osmc.sensitivity(ut(spark, d), range(1, 6)), "seed int, chosen int, rank int, rmse double")
+
+
 _PAIRS = "select a.col_key as a, b.col_key as b, count(*) as n, sum(a.value * b.value) as s, sum(pow(a.value * b.value, 2)) as q from c a join c b on a.row_key = b.row_key and a.col_key <= b.col_key group by 1, 2"
 
 
@@ -338,7 +359,7 @@ def osmc_loss(spark: SparkSession, d: str) -> DataFrame:
 def osmc_theta(spark: SparkSession, d: str) -> DataFrame:
     z = holdout.zscores(ud(spark, d), ud(spark, d)).select("row_key", "col_key", F.col("z").alias("value"))
     t = osmc.pair_table(z)
-    return osmc.theta_frame(z, osmc.fit(t, 2, 500), t.items)
+    return osmc.theta_frame(z, osmc.fit(t, 2), t.items)
 
 
 @query()
@@ -346,7 +367,7 @@ def osmc_predict(spark: SparkSession, d: str) -> DataFrame:
     marked = holdout.holdout(ud(spark, d), "row_key")
     z = cut(holdout.zscores(marked, marked.filter("not held")).withColumn("value", F.col("z")).drop("z"), "osmc")
     t = osmc.pair_table(z.filter("not held").drop("held"))
-    return osmc.predict(holdout.conditioning_sets(z), osmc.fit(t, 2, 300), t.items)
+    return osmc.predict(holdout.conditioning_sets(z), osmc.fit(t, 2), t.items)
 
 
 @query()
@@ -355,7 +376,7 @@ def surrogate(spark: SparkSession, d: str) -> DataFrame:
     z = holdout.zscores(cells, cells).select("row_key", "col_key", F.col("z").alias("value"))
     t = osmc.pair_table(z)
     m = {r.col_key: r for r in holdout.moments(cells).collect()}
-    return osmc.surrogate(cells.select("row_key").distinct(), osmc.fit(t, 2, 300), t.items, np.array([m[i].mu for i in t.items]), np.array([m[i].sd for i in t.items]))
+    return osmc.surrogate(cells.select("row_key").distinct(), osmc.fit(t, 2), t.items, np.array([m[i].mu for i in t.items]), np.array([m[i].sd for i in t.items]))
 
 
 @query("select x, round(1 / (1 + exp(-x)), 9) as p, round(case when x >= 0 then -ln(1 + exp(-x)) else x - ln(1 + exp(x)) end, 9) as log_p from (select event_id % 41 - 20 as x from events)")

@@ -23,11 +23,10 @@ def append_new(stream: DataFrame, target: str, key: list[str], checkpoint: str)
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(key)
-        try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        # Only an absent table counts as empty; any other failure to read it is an error and never a duplicate.
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             held = spark.read.parquet(target)
-        except Exception:  # the table isn't there yet
-            held = None
-        if held is not None:
             cond = None
             renamed = held.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
             for c in key:
