@@ -180,7 +180,7 @@ def map_names(names: DataFrame, name: str, entries: DataFrame, entry: str) -> Da
     hit = words.join(both.hint("merge"), "token").select(name, "plus", F.length("token").alias("_len"), F.explode("_c").alias("_c")).select(name, "plus", "_len", "_c.*")
     of = lambda role: F.array_join(F.array_sort(F.collect_set(F.when(F.col("role") == role, F.regexp_replace("word", "^#", "")))), " ")
     read = hit.groupBy(name).agg(F.collect_set(F.when(F.col("role") == "family", F.struct("word", "plus", (1 - F.col("edits") / F.greatest("_len", F.lit(1))).alias("sim")))).alias("_f"), of("kind").alias("kind_"), of("version").alias("version_"))
-    read = read.join(parsed.select(name, F.col("size").alias("size_")), name).select(name, "kind_", "version_", "size_", F.explode("_f").alias("_f"))
+    read = read.join(parsed.select(name, F.col("size").alias("size_")).hint("merge"), name).select(name, "kind_", "version_", "size_", F.explode("_f").alias("_f"))
     read = read.select(name, F.col("_f.word").alias("family"), F.col("_f.plus").alias("plus_"), "_f.sim", "kind_", "version_", "size_")
 
     ranked = read.join(ref.hint("merge"), "family")
@@ -194,4 +194,4 @@ def map_names(names: DataFrame, name: str, entries: DataFrame, entry: str) -> Da
     ranked = ranked.select(name, entry, (dot / F.sqrt(own * theirs)).alias("score"), whole.alias("whole"))
     top = ranked.groupBy(name).agg(F.min_by(F.struct(entry, "score", "whole"), F.struct(-F.col("score"), F.col(entry))).alias("_t"))
     named = top.filter(F.col("_t.whole") & (F.col("_t.score") >= MIN_SCORE)).select(name, F.col(f"_t.{entry}").alias(entry))
-    return parsed.select(name).join(named, name, "left").withColumn(entry, F.coalesce(entry, F.lit("")))
+    return parsed.select(name).join(named.hint("merge"), name, "left").withColumn(entry, F.coalesce(entry, F.lit("")))

@@ -63,7 +63,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct model_name that isn't a model_id, with the model_id it names or ''."""
     models = table(spark, d, "models").select("model_id").filter("model_id is not null")
     names = table(spark, d, "results").select("model_name").distinct().filter(states_value(F.col("model_name")))
-    names = cut(names.join(models, F.col("model_name") == F.col("model_id"), "left_anti"), "p5-names")
+    names = cut(names.join(models.hint("merge"), F.col("model_name") == F.col("model_id"), "left_anti"), "p5-names")
     return canonical.map_names(names, "model_name", models, "model_id")
 
 
