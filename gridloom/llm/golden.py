@@ -31,23 +31,33 @@ def align(a: Profile, b: Profile) -> Profile:
     """Global alignment of two profiles; columns that meet add up their votes, the others stand alone (a gap for the other side)."""
     wa, wb = max((sum(c.values()) for c in a), default=1.0), max((sum(c.values()) for c in b), default=1.0)
 
-    def meet(x: dict[str, float], y: dict[str, float]) -> float:
+    scale = 2 / (wa * wb)
+    # Most columns of the shorter side hold one token: its votes are looked up instead of intersecting two columns.
+    single = [next(iter(y.items())) if len(y) == 1 else None for y in b]
+
+    def meet(i: int, j: int) -> float:
+        x = a[i]
+        if single[j]:
+            token, weight = single[j]
+            return scale * x.get(token, 0.0) * weight - 0.8
+        y = b[j]
         small, large = (x, y) if len(x) < len(y) else (y, x)
-        same = sum(v * large[t] for t, v in small.items() if t in large) / (wa * wb)
-        return 2 * same - 0.8
+        return scale * sum(v * large[t] for t, v in small.items() if t in large) - 0.8
 
     n, m, gap = len(a), len(b), -0.5
     best = [[gap * j for j in range(m + 1)]]
     for i in range(1, n + 1):
-        row = [gap * i]
+        left = gap * i
+        row = [left]
         up = best[-1]
         for j in range(1, m + 1):
-            row.append(max(up[j - 1] + meet(a[i - 1], b[j - 1]), up[j] + gap, row[j - 1] + gap))
+            left = max(up[j - 1] + meet(i - 1, j - 1), up[j] + gap, left + gap)
+            row.append(left)
         best.append(row)
     out: Profile = []
     i, j = n, m
     while i or j:
-        if i and j and best[i][j] == best[i - 1][j - 1] + meet(a[i - 1], b[j - 1]):
+        if i and j and best[i][j] == best[i - 1][j - 1] + meet(i - 1, j - 1):
             i, j = i - 1, j - 1
             col = dict(a[i])
             for t, v in b[j].items():
@@ -82,7 +92,15 @@ def consensus(profile: Profile, total: float) -> list[str]:
 
 
 def distance(a: list[str], b: list[str]) -> int:
-    """Token edit distance."""
+    """Token edit distance; a common beginning and end cost nothing."""
+    k, e, short = 0, 0, min(len(a), len(b))
+    while k < short and a[k] == b[k]:
+        k += 1
+    while e < short - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[k : len(a) - e], b[k : len(b) - e]
+    if not a or not b:
+        return len(a) + len(b)
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         prev, row[0] = row[0], i
@@ -92,8 +110,9 @@ def distance(a: list[str], b: list[str]) -> int:
 
 
 def _closest(values: list[dict], goal: list[str]) -> tuple[int, float]:
-    k = min(range(len(values)), key=lambda i: (distance(tokens(values[i]["value"]), goal), -values[i]["weight"], values[i]["row"]))
-    return k, 1 - distance(tokens(values[k]["value"]), goal) / max(1, len(goal))
+    far = [distance(tokens(v["value"]), goal) for v in values]
+    k = min(range(len(values)), key=lambda i: (far[i], -values[i]["weight"], values[i]["row"]))
+    return k, 1 - far[k] / max(1, len(goal))
 
 
 _CHOICE = "value string, row bigint, agreement double"
