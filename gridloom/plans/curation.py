@@ -76,13 +76,14 @@ _ASCII = "regexp_matches(model_name, '^[ -~]*$')"
 
 @query(f"select distinct model_name, {_DATES.format('model_name')} as stripped from results where {_ASCII}")
 def strip_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Dates stripped from every name of printable ASCII; word borders of other scripts differ between regex engines."""
-    return results(spark, d).select("model_name").distinct().filter(F.col("model_name").rlike(r"\A[ -~]*\z")).select("model_name", text.without_dates(F.col("model_name")).alias("stripped"))
+    """Dates stripped from every name. The SQL holds for names of printable ASCII only: word borders of others differ between engines."""
+    return results(spark, d).select("model_name").distinct().select("model_name", text.without_dates(F.col("model_name")).alias("stripped"))
 
 
 @query(f"select distinct model_name, {_PARENS.format('model_name')} as cleaned from results where {_ASCII}")
 def clean_parens(spark: SparkSession, d: str) -> DataFrame:
-    return results(spark, d).select("model_name").distinct().filter(F.col("model_name").rlike(r"\A[ -~]*\z")).select("model_name", text.parens_to_size(F.col("model_name")).alias("cleaned"))
+    """Parentheses cleaned in every name. The SQL holds for names of printable ASCII only."""
+    return results(spark, d).select("model_name").distinct().select("model_name", text.parens_to_size(F.col("model_name")).alias("cleaned"))
 
 
 @query("select distinct model_name, regexp_replace(model_name, '^[^/]*/', '') as bare from results")

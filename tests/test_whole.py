@@ -50,3 +50,16 @@ def test_keep_latest_reads_every_spelling_of_a_date(spark, tmp_path):
     df = spark.createDataFrame(rows, "row_id long, model_name string, date_recorded string").selectExpr("*", "'b' as benchmark_id", "'acc' as metric_name", "'u' as source_url")
     df.write.parquet(f"{tmp_path}/results.parquet")
     assert {r.row_id for r in catalog.QUERIES["keep_latest"](spark, str(tmp_path)).collect()} == {10 * i for i in range(len(days))}
+
+
+def test_names_of_all_scripts_are_cleaned(spark, tmp_path):
+    names = {
+        "Karotu 2024-05-03": ("Karotu", "Karotu 2024-05-03"), "Ka\u2013rotu\u00a02024-05-03": ("Ka\u2013rotu", "Ka\u2013rotu\u00a02024-05-03"), "\uff2b\uff21 (8B)": ("\uff2b\uff21 (8B)", "\uff2b\uff21 8B"), "tab\t20240503": ("tab", "tab\t20240503"),
+        "\u65e5\u672c (notes) x": ("\u65e5\u672c (notes) x", "\u65e5\u672c  x"), "": ("", ""), None: (None, None), "x" * 50_000 + " 2024": ("x" * 50_000, "x" * 50_000 + " 2024"),
+    }
+    rows = [(i, n) for i, n in enumerate([*names, *names])]
+    spark.createDataFrame(rows, "row_id long, model_name string").write.parquet(f"{tmp_path}/results.parquet")
+    tidy = lambda v: v if v is None else v.strip()
+    for name, column, i in (("strip_dates", "stripped", 0), ("clean_parens", "cleaned", 1)):
+        got = {r.model_name: tidy(r[column]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {n: tidy(v[i]) for n, v in names.items()}
