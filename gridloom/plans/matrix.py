@@ -287,12 +287,12 @@ def softimpute_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mice_impute(spark: SparkSession, d: str) -> DataFrame:
-    return impute.chained_equations(ut(spark, d), m=3)
+    return impute.chained_equations(ut(spark, d), m=20)
 
 
 @query()
 def missforest_impute(spark: SparkSession, d: str) -> DataFrame:
-    return impute.forest_impute(ut(spark, d), trees=8, rounds=2)
+    return impute.forest_impute(ut(spark, d), trees=50, rounds=10)
 
 
 @query()
@@ -419,7 +419,7 @@ def pa_nfactors(spark: SparkSession, d: str) -> DataFrame:
     """Parallel analysis: observed eigenvalues, their random cutoffs and the number of factors."""
     r, items = _corr(spark, d)
     values = factor.eigenvalues(r)
-    cuts = factor.random_cutoffs(spark, table(spark, d, "embeddings").count(), len(items), 20)
+    cuts = factor.random_cutoffs(spark, table(spark, d, "embeddings").count(), len(items), 100)
     return spark.createDataFrame(report.scree(values, cuts), "position int, value double, cutoff double").withColumn("n_factors", F.lit(factor.n_factors(values, cuts)))
 
 
@@ -560,7 +560,7 @@ def osmc_baselines(spark: SparkSession, d: str) -> DataFrame:
     seen = osmc.pair_table(sampled)
     off = seen.s - np.diag(np.diag(seen.s))
     bases = {
-        "one-sided": osmc.singular_vectors(osmc.fit(seen, 2, 800), 2), "direct": np.linalg.eigh(seen.s)[1][:, ::-1][:, :2], "without diagonal": np.linalg.eigh(off)[1][:, ::-1][:, :2], "full completion": osmc.full_completion(sampled, 2),
+        "one-sided": osmc.singular_vectors(osmc.fit(seen, 2), 2), "direct": np.linalg.eigh(seen.s)[1][:, ::-1][:, :2], "without diagonal": np.linalg.eigh(off)[1][:, ::-1][:, :2], "full completion": osmc.full_completion(sampled, 2),
     }
     return spark.createDataFrame([(k, osmc.rowspace_error(b, true), osmc.mean_principal_angle(b, true)) for k, b in bases.items()], "method string, error double, angle double")
 
@@ -569,7 +569,7 @@ def osmc_baselines(spark: SparkSession, d: str) -> DataFrame:
 def propensity(spark: SparkSession, d: str) -> DataFrame:
     """Chance of each cell of the dense user x day table to be observed, from the mask alone."""
     x, rk, ck = impute._driver_matrix(ud(spark, d))
-    p = osmc.propensity((~np.isnan(x)).astype(float), iters=30)
+    p = osmc.propensity((~np.isnan(x)).astype(float))
     return spark.createDataFrame([(int(r), int(c), float(p[i, j])) for i, r in enumerate(rk) for j, c in enumerate(ck)], "row_key long, col_key int, p double")
 
 
