@@ -217,10 +217,10 @@ def softimpute_path(cells: DataFrame, ranks: tuple[int, ...] = tuple(range(1, 11
     curve = []
     for r, (_, lam, b) in zip(ranks, best):
         s = score(held, _completed(train, rows, b, lam, mu, sd, items), train).first()
-        curve.append((float(r), math.inf if s.rmse is None else s.rmse, s.r2))
+        curve.append((r, math.inf if s.rmse is None else s.rmse, s.r2))
     k = min(range(len(ranks)), key=lambda i: (curve[i][1], ranks[i]))
     at = dict(zip(ranks, (lam for _, lam, _ in best)))
-    return Imputation(softimpute(cells, ranks[k], at[ranks[k]]), float(ranks[k]), "rank", curve, lambda r: softimpute(cells, int(r), at.get(int(r))))
+    return Imputation(softimpute(cells, ranks[k], at[ranks[k]]), ranks[k], "rank", curve, lambda r: softimpute(cells, int(r), at.get(int(r))))
 
 
 def _driver_matrix(cells: DataFrame) -> tuple[np.ndarray, list, list]:
