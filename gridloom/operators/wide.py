@@ -27,7 +27,7 @@ def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, ord
 
     Cells are aggregated first, so a hot entity or attribute shuffles one row per cell. The cells of a block are collected, sorted by
     attribute position, and each position of the block takes its value from them or null: a left join of the positions to the values, within the
-    row. Blocks that an entity doesn't touch are not shuffled; ``complete_rows`` puts them in place.
+    row. Blocks that an entity doesn't touch are neither shuffled nor made.
     """
     cells = rows.groupBy(entity, attribute).agg(F.max_by(value, order).alias("__gl_v"))
     # Distinct attributes; broadcast only where a count proves them few.
@@ -38,8 +38,9 @@ def attribute_grid(rows: DataFrame, entity: str, attribute: str, value: str, ord
 
 
 def complete_rows(grid: DataFrame, entity: str, blocks: int) -> DataFrame:
-    """The completed grid, one row per entity: ``blocks``, the array of all blocks of all attributes. A block without any value stands
-    in its place as one null, which is read as null cells, so that completing costs a slot per block and no shuffle of its own."""
+    """The completed grid, one row per entity: ``blocks``, the array of all blocks below ``blocks``. A block without any value stands in
+    its place as one null, which is read as null cells. The work is entities x blocks, so this is for as many blocks as a plan's columns
+    need and never for as many as the attributes of a growing table have."""
     held = grid.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("block", "cells"))).alias("__gl_blocks"))
     return held.select(entity, _complete(F.filter("__gl_blocks", lambda b: b.block < blocks), "block", "cells", blocks).alias("blocks"))
 
@@ -55,22 +56,23 @@ def _complete(held: Column, place: str, value: str, size: int) -> Column:
 
 def wide_table(grid: DataFrame, entity: str, columns: list[tuple[str, int | None, str]]) -> DataFrame:
     """One row per entity: for each (name, position, type) the cell at its fixed index, through a try cast to its type. A column
-    without a position (no row has its attribute) is null."""
-    rows = complete_rows(grid, entity, 1 + max((p // BLOCK for _, p, _ in columns if p is not None), default=0))
-    cell = lambda p: F.get(F.get("blocks", F.lit(p // BLOCK)), F.lit(p % BLOCK))
+    without a position (no row has its attribute) is null. Rows are completed over the blocks that hold a named column, in order."""
+    needed = {b: i for i, b in enumerate(sorted({p // BLOCK for _, p, _ in columns if p is not None}))}
+    places = grid.sparkSession.createDataFrame([*needed.items()], "block int, __gl_place int")  # at most one row per column
+    placed = grid.join(F.broadcast(places), "block", "left")
+    rows = complete_rows(placed.select(entity, F.col("__gl_place").alias("block"), F.when(F.col("__gl_place").isNotNull(), F.col("cells")).alias("cells")), entity, max(1, len(needed)))
+    cell = lambda p: F.get(F.get("blocks", F.lit(needed[p // BLOCK])), F.lit(p % BLOCK))
     return rows.select(entity, *[(cell(p) if p is not None else F.lit(None).cast("string")).try_cast(t).alias(n) for n, p, t in columns])
 
 
 def unpivot_grid(grid: DataFrame, entity: str, attribute: str, positions: DataFrame, kind: str = "double") -> DataFrame:
-    """The cells of all attributes that ``kind`` can hold, as entity, attribute and value, read from the completed rows.
+    """The cells of all attributes that ``kind`` can hold, as entity, attribute and value, read from the completed blocks.
 
     Each block of a row is projected to BLOCK typed columns by fixed indices, as ``wide_table`` projects the columns it is given by name,
-    and the typed columns are stacked. This reads a table of more columns than a plan can name.
+    and the typed columns are stacked. This reads a table of more columns than a plan can name. A block that an entity doesn't touch
+    holds nothing but nulls, which stacking leaves out; it is not made for that, so the work follows the cells and not entities x blocks.
     """
-    last = positions.agg(F.max("position")).first()[0]
-    rows = complete_rows(grid, entity, 0 if last is None else last // BLOCK + 1)
-    each = rows.select(entity, F.posexplode("blocks").alias("__gl_block", "__gl_cells")).filter("__gl_cells is not null")
-    typed = each.select(entity, "__gl_block", *[F.get("__gl_cells", F.lit(i)).try_cast(kind).alias(f"__gl_{i}") for i in range(BLOCK)])
+    typed = grid.select(entity, F.col("block").alias("__gl_block"), *[F.get("cells", F.lit(i)).try_cast(kind).alias(f"__gl_{i}") for i in range(BLOCK)])
     long = typed.select(entity, "__gl_block", F.posexplode(F.array(*[f"__gl_{i}" for i in range(BLOCK)])).alias("__gl_i", "value")).filter("value is not null")
-    long = long.select(entity, (F.col("__gl_block") * BLOCK + F.col("__gl_i")).cast("bigint").alias("position"), "value")
+    long = long.select(entity, (F.col("__gl_block").cast("bigint") * BLOCK + F.col("__gl_i")).alias("position"), "value")
     return long.join(checked_broadcast(positions), "position").select(entity, attribute, "value")
