@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
+import sys
+from collections.abc import Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import dense_ranks
 from gridloom.runtime import cut
 
 TARGET, MIN_OBS = 0.10, 2
@@ -41,39 +44,76 @@ def peel(cells: DataFrame, target: float = TARGET, axis: str = "col_key") -> Dat
 def symmetric_peel(cells: DataFrame, target: float = TARGET) -> DataFrame:
     """Drops, one by one, the key of either axis with the lowest fill rate (a column before a row of the same rate, then the first).
 
-    Sequential by definition: the edge list goes to one task, where degrees are kept in two heaps and each drop updates only the
-    dropped key's neighbours. That bounds it to matrices whose cells fit one task (some 10 million); larger ones take ``peel``.
+    Sequential by definition: the edges go to one task as pairs of ranks, 8 bytes each, and are kept there as two lists of neighbours
+    (about 20 bytes an edge while they are built). Each drop updates only the dropped key's neighbours.
     """
     edges = cells.filter("value is not null").select(F.col("row_key").cast("string").alias("r"), F.col("col_key").cast("string").alias("c"))
+    edges = cut(edges.filter("r is not null and c is not null"), "peel-edges")
+    rows, cols = cut(dense_ranks(edges, ["r"], "i"), "peel-rows"), cut(dense_ranks(edges, ["c"], "j"), "peel-cols")
+    coded = edges.join(rows, "r").join(cols, "c").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = ({}, {})  # columns, rows
-        for r, c in zip(pdf["r"], pdf["c"]):
-            by[0].setdefault(c, set()).add(r)
-            by[1].setdefault(r, set()).add(c)
-        n = sum(map(len, by[0].values()))
-        heaps = [[(len(v), k) for k, v in side.items()] for side in by]
-        for h in heaps:
-            heapq.heapify(h)
-
-        def lowest(s: int) -> tuple[int, str]:
-            while heaps[s][0][1] not in by[s] or heaps[s][0][0] != len(by[s][heaps[s][0][1]]):
-                heapq.heappop(heaps[s])
-            return heaps[s][0]
-
-        while by[0] and by[1] and n < target * len(by[0]) * len(by[1]):
-            (nc, c), (nr, r) = lowest(0), lowest(1)
-            s, k = (0, c) if nc * len(by[0]) <= nr * len(by[1]) else (1, r)
-            for o in by[s].pop(k):
-                by[1 - s][o].discard(k)
-                n -= 1
-                if by[1 - s][o]:
-                    heapq.heappush(heaps[1 - s], (len(by[1 - s][o]), o))
-                else:
-                    del by[1 - s][o]
-        return pd.DataFrame([(r, c) for c, rows in by[0].items() for r in rows], columns=["row_key", "col_key"])
-
-    return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "row_key string, col_key string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b["j"].to_numpy("int64") << 32 | b["i"].to_numpy("int64") for b in batches]
+        if not parts:
+            return
+        packed = np.concatenate(parts)
+        del parts
+        i, j = _peel_pairs(packed, target)
+        for k in range(0, len(i), 100_000):
+            yield pd.DataFrame({"i": i[k : k + 100_000], "j": j[k : k + 100_000]})
+
+    kept = coded.repartition(1).mapInPandas(run, "i int, j int")
+    return kept.join(rows, "i").join(cols, "j").select(F.col("r").alias("row_key"), F.col("c").alias("col_key"))
+
+
+def _peel_pairs(packed: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, column) codes left by the symmetric peel of the pairs column << 32 | row, which are sorted in place.
+
+    A key's place is count * keys + code, so the smallest place is the next key of its side; places only fall, so the smallest place of a
+    block of keys falls with them and is taken again only where a key leaves.
+    """
+    gone = np.iinfo(np.int64).max
+    ptr, adj, place, least, live, size, block = [], [], [], [], [], [], []
+    for side in range(2):  # columns, rows
+        packed.sort()
+        if side == 0 and len(packed) > 1 and (same := packed[1:] == packed[:-1]).any():
+            packed = packed[np.concatenate([[True], ~same])]
+        n = int(packed[-1] >> 32) + 1
+        ptr.append(np.searchsorted(packed, np.arange(n + 1, dtype=np.int64) << 32))
+        halves = packed.view(np.int32).reshape(-1, 2)
+        low = 0 if sys.byteorder == "little" else 1
+        adj.append(halves[:, low].copy())
+        counts, width = np.diff(ptr[-1]), 1 << max(4, n.bit_length() // 2)
+        places = np.full(-(-n // width) * width, gone)
+        places[:n] = np.where(counts > 0, counts * n + np.arange(n), gone)
+        place.append(places), least.append(places.reshape(-1, width).min(1)), live.append(int((counts > 0).sum())), size.append(n), block.append(width)
+        packed = np.ascontiguousarray(halves[:, ::-1]).view(np.int64).ravel()
+        del halves
+    left = len(adj[0])
+    del packed
+    while live[0] and live[1] and left < target * live[0] * live[1]:
+        (nc, c), (nr, r) = (divmod(int(least[s].min()), size[s]) for s in range(2))
+        s, k = (0, c) if nc * live[0] <= nr * live[1] else (1, r)
+        o, at = 1 - s, k // block[s]
+        place[s][k] = gone
+        least[s][at] = place[s][at * block[s] : (at + 1) * block[s]].min()
+        live[s] -= 1
+        near = adj[s][ptr[s][k] : ptr[s][k + 1]]
+        now = place[o][near]
+        alive = now != gone
+        near, now = near[alive], now[alive] - size[o]
+        left -= len(near)
+        empty = now < size[o]
+        if empty.any():
+            live[o] -= int(empty.sum())
+            now[empty] = gone
+        place[o][near] = now
+        np.minimum.at(least[o], near // block[o], now)
+        for at in set((near[empty] // block[o]).tolist()):
+            least[o][at] = place[o][at * block[o] : (at + 1) * block[o]].min()
+    cols = np.flatnonzero(place[0][: size[0]] != gone)
+    rows_of = [(x := adj[0][ptr[0][c] : ptr[0][c + 1]])[place[1][x] != gone] for c in cols]
+    return np.concatenate([np.zeros(0, np.int32), *rows_of]), np.repeat(cols, [len(x) for x in rows_of]).astype(np.int32)
 
 
 def core(cells: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
