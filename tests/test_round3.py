@@ -6,7 +6,7 @@ import sys
 import numpy as np
 from test_operators import cells_of, loop_symmetric
 
-from gridloom.operators import densify, wide
+from gridloom.operators import densify, impute, wide
 
 
 def test_far_apart_attributes_cost_no_blocks_between_them(spark):
@@ -37,3 +37,15 @@ def test_symmetric_peel_equals_its_loop_and_summary_counts_it(spark):
     kept = densify.symmetric_peel(cells.unionByName(cells), 0.5)  # a cell given twice is one edge
     assert {(r.row_key, r.col_key) for r in kept.collect()} == loop_symmetric(mask, 0.5)
     assert densify.symmetric_peel(cells.filter("value is null"), 0.5).count() == 0
+
+
+def long_cells(spark, items):
+    """Two rows over many items: the first observes all of them, the second the first one only."""
+    return spark.range(items).selectExpr("1L as row_key", "cast(id as int) as col_key", "cast(id % 7 as double) as value").unionByName(spark.createDataFrame([(2, 0, 4.0), (3, 1, None)], "row_key long, col_key int, value double"))
+
+
+def test_mean_impute_takes_any_number_of_items(spark):
+    got = impute.mean_impute(long_cells(spark, 5_200)).toPandas()
+    assert len(got) == 3 * 5_200 and got.value.notna().all()
+    at = got.set_index(["row_key", "col_key"]).value
+    assert at[1, 0] == 0.0 and at[2, 0] == 4.0 and at[3, 0] == 2.0 and at[3, 5_199] == 5_199 % 7
