@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pandas as pd
 from test_operators import cells_of, loop_symmetric
 
 from gridloom.operators import densify, impute, wide
@@ -49,3 +50,23 @@ def test_mean_impute_takes_any_number_of_items(spark):
     assert len(got) == 3 * 5_200 and got.value.notna().all()
     at = got.set_index(["row_key", "col_key"]).value
     assert at[1, 0] == 0.0 and at[2, 0] == 4.0 and at[3, 0] == 2.0 and at[3, 5_199] == 5_199 % 7
+
+
+def test_softimpute_takes_any_number_of_items(spark):
+    rng = np.random.default_rng(2)
+    full = np.outer(rng.standard_normal(12), rng.standard_normal(5_200))
+    seen = rng.random(full.shape) < 0.6
+    i, j = np.where(seen)
+    cells = spark.createDataFrame(pd.DataFrame({"row_key": i, "col_key": j, "value": full[seen]}))
+    got = impute.softimpute(cells, 1, 1e-3, passes=3).toPandas()
+    assert len(got) == 12 * len(set(j)) and not got.duplicated(["row_key", "col_key"]).any()
+    kept = got.set_index(["row_key", "col_key"]).value
+    assert all(kept[a, b] == full[a, b] for a, b in zip(i[::500], j[::500]))
+
+
+def test_leading_singular_values_equal_those_of_the_whole_matrix(spark):
+    x = np.random.default_rng(3).standard_normal((60, 40)) * (1 + np.arange(40))
+    packed = spark.createDataFrame([(i, list(range(40)), r.tolist()) for i, r in enumerate(x)], "row_key long, idx array<int>, val array<double>")
+    top, q = impute._spectrum(packed, 40, 3)
+    _, s, w = np.linalg.svd(x)
+    assert np.allclose(top, s[:3], rtol=1e-5) and np.allclose(np.abs((q.T * w[:3]).sum(1)), 1, atol=1e-3)
