@@ -91,24 +91,80 @@ def mean_impute(cells: DataFrame) -> DataFrame:
     return _emit(packed, dict(cells.dtypes), items["col_key"].tolist(), lambda idx, val: np.tile(mu.value, (len(idx), 1)))
 
 
+#: Rows whose distances to all rows a task holds at once, rows a task takes, and columns seen by fewer of the rows than this share are added by place.
+KNN_ROWS, KNN_TASK_ROWS, DENSE_SHARE = 8, 4_000, 0.2
+
+
 def knn_impute(cells: DataFrame, k: int = 5) -> DataFrame:
-    """Empty cells take the mean of the k nearest rows that observe the column.
+    """Empty cells take the mean of the k nearest rows that observe the column; the column's mean where no row has a distance.
 
-    Distance of two rows: mean over the columns both observe of the difference by the column's range; ties by row key. The pairs come
-    from a self-join on the column: work is the sum over columns of their observations squared, so this is for matrices whose
-    columns have thousands of observations; every needed pair is compared, none is sampled.
+    Distance of two rows: mean over the columns both observe of the difference by the column's range; ties by row key. Every pair of
+    rows is compared, none is sampled: the work is rows squared times columns, but no pair leaves its task. Each task gets all cells and
+    completes its share of the rows, so tasks grow with the rows and a task's memory is that of the cells.
     """
     seen = cells.filter("value is not null").select("row_key", "col_key", "value")
-    spread = seen.groupBy("col_key").agg((F.max("value") - F.min("value")).alias("w"))
-    scaled = seen.join(spread, "col_key").select("row_key", "col_key", F.coalesce(F.try_divide("value", "w"), F.lit(0.0)).alias("x"))
-    a, b = scaled.toDF("row_key", "col_key", "xa"), scaled.toDF("near", "col_key", "xb")
-    pairs = a.join(b, "col_key").filter("row_key <> near").groupBy("row_key", "near").agg(F.avg(F.abs(F.col("xa") - F.col("xb"))).alias("d"))
-    empty = grid(cells).filter("value is null").select("row_key", "col_key")
-    donors = empty.join(pairs, "row_key").join(seen.toDF("near", "col_key", "v"), ["near", "col_key"])
-    ranked = donors.withColumn("i", F.row_number().over(Window.partitionBy("row_key", "col_key").orderBy(F.round("d", 9), "near"))).filter(F.col("i") <= k)
-    filled = ranked.groupBy("row_key", "col_key").agg(F.avg("v").alias("value"))
-    rest = empty.join(filled, ["row_key", "col_key"], "left_anti").join(seen.groupBy("col_key").agg(F.avg("value").alias("value")), "col_key").select("row_key", "col_key", "value")
-    return seen.unionByName(filled).unionByName(rest)
+    kinds = dict(cells.dtypes)
+    all_cells = cut(cells.select("row_key", "col_key", F.col("value").cast("double").alias("value")).filter("row_key is not null and col_key is not null"), "knn")
+    parts = max(12, -(-all_cells.select("row_key").distinct().count() // KNN_TASK_ROWS))
+    sent = all_cells.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row, rows = pd.factorize(pdf["row_key"], sort=True)
+        col, cols = pd.factorize(pdf["col_key"], sort=True)
+        value = pdf["value"].to_numpy(float)
+        i, j, filled = _knn_share(row, col, value, len(rows), len(cols), int(key[0]), parts, k)
+        return pd.DataFrame({"row_key": np.asarray(rows)[i], "col_key": np.asarray(cols)[j], "value": filled})
+
+    filled = sent.groupBy("_p").applyInPandas(run, f"row_key {kinds['row_key']}, col_key {kinds['col_key']}, value double")
+    return seen.unionByName(filled)
+
+
+def _knn_share(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, p: int, part: int, parts: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fills (row, column, value) of the rows part, part + parts, ... from the cells of all n rows (nan: none)."""
+    x = np.full((p, n), np.nan)
+    x[col, row] = value
+    mask = ~np.isnan(x)
+    means = np.array([v[m].mean() if m.any() else np.nan for v, m in zip(x, mask)])
+    spread = np.array([v[m].max() - v[m].min() if m.any() else 0.0 for v, m in zip(x, mask)])
+    scaled = np.zeros((p, n))
+    np.divide(x, spread[:, None], out=scaled, where=mask & (spread > 0)[:, None])
+    at = [np.flatnonzero(m) if m.mean() < DENSE_SHARE else None for m in mask]
+    weight = mask.astype(np.float32)
+    usable = ~np.isnan(means)
+    out_i, out_j, out_v = [], [], []
+    mine = np.arange(part, n, parts)
+    work = np.empty(n)
+    for start in range(0, len(mine), KNN_ROWS):
+        own = mine[start : start + KNN_ROWS]
+        shared = weight[:, own].T @ weight  # columns that both observe
+        for a, common in zip(own, shared):
+            empty = np.flatnonzero(~mask[:, a] & usable)
+            if not len(empty):
+                continue
+            total = np.zeros(n)
+            for j in np.flatnonzero(mask[:, a]):
+                if at[j] is not None:
+                    total[at[j]] += np.abs(scaled[j, at[j]] - scaled[j, a])
+                else:
+                    np.subtract(scaled[j], scaled[j, a], out=work)
+                    np.abs(work, out=work)
+                    work *= weight[j]
+                    total += work
+            near = np.flatnonzero(common > 0)
+            near = near[near != a]
+            near = near[np.argsort(np.round(total[near] / common[near].astype(float), 9), kind="stable")]
+            take, open_ = 64, empty
+            while len(open_):
+                first = near[:take]
+                has = mask[np.ix_(open_, first)]
+                nth = has.cumsum(1)
+                done = (nth[:, -1] >= k) if len(first) else np.zeros(len(open_), bool)
+                done |= take >= len(near)
+                for j, h, c in zip(open_[done], has[done], nth[done]):
+                    donors = first[h & (c <= k)]
+                    out_i.append(a), out_j.append(j), out_v.append(x[j, donors].mean() if len(donors) else means[j])
+                open_, take = open_[~done], take * 4
+    return np.array(out_i, int), np.array(out_j, int), np.array(out_v, float)
 
 
 def _rows_of(cells: DataFrame) -> tuple[DataFrame, dict, dict, list]:

@@ -70,3 +70,23 @@ def test_leading_singular_values_equal_those_of_the_whole_matrix(spark):
     top, q = impute._spectrum(packed, 40, 3)
     _, s, w = np.linalg.svd(x)
     assert np.allclose(top, s[:3], rtol=1e-5) and np.allclose(np.abs((q.T * w[:3]).sum(1)), 1, atol=1e-3)
+
+
+def test_knn_compares_pairs_in_tasks_and_equals_a_loop(spark):
+    """No join makes a row for each pair of cells; fills equal a loop over rows, with ties by key."""
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((70, 9)) < 0.6 * rng.random(9) + 0.1, rng.integers(0, 4, (70, 9)).astype(float), np.nan)
+    cells = cells_of(spark, x)
+    completed = impute.knn_impute(cells, 3)
+    assert "Join" not in completed._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.row_key, r.col_key): r.value for r in completed.collect()}
+    wide = np.nanmax(x, 0) - np.nanmin(x, 0)
+    z = np.where(wide > 0, x / np.where(wide > 0, wide, 1), np.where(np.isnan(x), np.nan, 0))
+    rows = [i for i in range(len(x)) if not np.isnan(x[i]).all()]
+    for i in rows:
+        near = sorted((round(float(np.nanmean(np.abs(z[i] - z[o]))), 9), o) for o in rows if o != i and not np.isnan(z[i] - z[o]).all())
+        for j in range(x.shape[1]):
+            donors = [x[o, j] for _, o in near if not np.isnan(x[o, j])][:3]
+            want = x[i, j] if not np.isnan(x[i, j]) else np.mean(donors) if donors else np.nanmean(x[:, j])
+            assert abs(got.pop((i, j)) - want) < 1e-9
+    assert not got
