@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from test_operators import cells_of, loop_symmetric
 
-from gridloom.operators import densify, impute, wide
+from gridloom.operators import densify, impute, osmc, wide
+from gridloom.plans import catalog
 
 
 def test_far_apart_attributes_cost_no_blocks_between_them(spark):
@@ -90,3 +91,12 @@ def test_knn_compares_pairs_in_tasks_and_equals_a_loop(spark):
             want = x[i, j] if not np.isnan(x[i, j]) else np.mean(donors) if donors else np.nanmean(x[:, j])
             assert abs(got.pop((i, j)) - want) < 1e-9
     assert not got
+
+
+def test_propensity_takes_more_than_two_million_cells(spark, tmp_path, monkeypatch):
+    days = "timestamp_seconds(1704067200 + cast(id % 30 as int) * 86400) as ts"
+    spark.range(2_010_000).selectExpr("id div 30 as user_id", days, "1.0D as value").filter("user_id <> 5 or day(ts) <> 3").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(osmc, "propensity", lambda mask: mask)
+    got = catalog.QUERIES["propensity"](spark, str(tmp_path))
+    assert got.dtypes == [("row_key", "bigint"), ("col_key", "int"), ("p", "double")] and got.count() == 2_010_000
+    assert [(r.row_key, r.col_key) for r in got.filter("p = 0").collect()] == [(5, 3)]
