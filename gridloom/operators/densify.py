@@ -15,6 +15,8 @@ from gridloom.operators.ranks import dense_ranks
 from gridloom.runtime import cut
 
 TARGET, MIN_OBS = 0.10, 2
+#: Edges handled at once where a copy of all would double their room.
+STEP = 1 << 18
 
 
 def peel(cells: DataFrame, target: float = TARGET, axis: str = "col_key") -> DataFrame:
@@ -44,20 +46,19 @@ def peel(cells: DataFrame, target: float = TARGET, axis: str = "col_key") -> Dat
 def symmetric_peel(cells: DataFrame, target: float = TARGET) -> DataFrame:
     """Drops, one by one, the key of either axis with the lowest fill rate (a column before a row of the same rate, then the first).
 
-    Sequential by definition: the edges go to one task as pairs of ranks, 8 bytes each, and are kept there as two lists of neighbours
-    (about 20 bytes an edge while they are built). Each drop updates only the dropped key's neighbours.
+    Sequential by definition: the edges go to one task as pairs of ranks, 8 bytes each, and in the room of these pairs become two lists of
+    neighbours. Each drop updates only the dropped key's neighbours.
     """
     edges = cells.filter("value is not null").select(F.col("row_key").cast("string").alias("r"), F.col("col_key").cast("string").alias("c"))
     edges = cut(edges.filter("r is not null and c is not null"), "peel-edges")
     rows, cols = cut(dense_ranks(edges, ["r"], "i"), "peel-rows"), cut(dense_ranks(edges, ["c"], "j"), "peel-cols")
     coded = edges.join(rows, "r").join(cols, "c").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+    n = edges.count()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b["j"].to_numpy("int64") << 32 | b["i"].to_numpy("int64") for b in batches]
-        if not parts:
+        packed = _packed(batches, n)
+        if not n:
             return
-        packed = np.concatenate(parts)
-        del parts
         i, j = _peel_pairs(packed, target)
         for k in range(0, len(i), 100_000):
             yield pd.DataFrame({"i": i[k : k + 100_000], "j": j[k : k + 100_000]})
@@ -66,31 +67,72 @@ def symmetric_peel(cells: DataFrame, target: float = TARGET) -> DataFrame:
     return kept.join(rows, "i").join(cols, "j").select(F.col("r").alias("row_key"), F.col("c").alias("col_key"))
 
 
+def _packed(batches: Iterator[pd.DataFrame], n: int) -> np.ndarray:
+    """The n pairs of the batches as column << 32 | row, each batch written to its place at once."""
+    packed, at = np.empty(n, np.int64), 0
+    for b in batches:
+        if at + len(b) > n:
+            raise ValueError(f"more than the {n} edges that were counted")
+        packed[at : at + len(b)] = b["j"].to_numpy("int64") << 32 | b["i"].to_numpy("int64")
+        at += len(b)
+    if at < n:
+        raise ValueError(f"{at} edges of the {n} that were counted")
+    return packed
+
+
+def _neighbours(packed: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of columns, then of rows: where each key's neighbours start, and the neighbours in order.
+
+    Both lists of neighbours lie in the room of ``packed``, whose pairs are lost; what is held besides grows with the keys only.
+    """
+    packed.sort()
+    size, last = 0, -1
+    for a in range(0, len(packed), STEP):
+        part = packed[a : a + STEP]
+        part = part[np.diff(part, prepend=last) != 0]  # a pair given twice is one edge
+        packed[size : size + len(part)] = part
+        size, last = size + len(part), part[-1] if len(part) else last
+    packed = packed[:size]
+    col_at = np.searchsorted(packed, np.arange((packed[-1] >> 32) + 2, dtype=np.int64) << 32)
+    halves, low = packed.view(np.int32), 0 if sys.byteorder == "little" else 1
+    for a in range(0, size, STEP):
+        b = min(a + STEP, size)
+        halves[a:b] = halves[2 * a + low : 2 * b : 2].copy()
+    rows, cols = halves[:size], halves[size:]
+    counts = np.zeros(int(rows.max()) + 1, np.int64)
+    for a in range(0, size, STEP):
+        np.add.at(counts, rows[a : a + STEP], 1)
+    row_at = np.concatenate([[0], np.cumsum(counts)])
+    free = row_at[:-1].copy()
+    for a in range(0, size, STEP):
+        b = min(a + STEP, size)
+        pairs = rows[a:b].astype(np.int64) << 32 | np.searchsorted(col_at, np.arange(a, b), "right") - 1
+        pairs.sort()
+        r = pairs >> 32
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        times, r = np.diff(first, append=b - a), r[first]
+        cols[np.repeat(free[r] - first, times) + np.arange(b - a)] = pairs & 0xFFFFFFFF
+        free[r] += times
+    return [col_at, row_at], [rows, cols]
+
+
 def _peel_pairs(packed: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
-    """The (row, column) codes left by the symmetric peel of the pairs column << 32 | row, which are sorted in place.
+    """The (row, column) codes left by the symmetric peel of the pairs column << 32 | row, whose room is used up and holds the result.
 
     A key's place is count * keys + code, so the smallest place is the next key of its side; places only fall, so the smallest place of a
     block of keys falls with them and is taken again only where a key leaves.
     """
     gone = np.iinfo(np.int64).max
-    ptr, adj, place, least, live, size, block = [], [], [], [], [], [], []
+    ptr, adj = _neighbours(packed)
+    place, least, live, size, block = [], [], [], [], []
     for side in range(2):  # columns, rows
-        packed.sort()
-        if side == 0 and len(packed) > 1 and (same := packed[1:] == packed[:-1]).any():
-            packed = packed[np.concatenate([[True], ~same])]
-        n = int(packed[-1] >> 32) + 1
-        ptr.append(np.searchsorted(packed, np.arange(n + 1, dtype=np.int64) << 32))
-        halves = packed.view(np.int32).reshape(-1, 2)
-        low = 0 if sys.byteorder == "little" else 1
-        adj.append(halves[:, low].copy())
-        counts, width = np.diff(ptr[-1]), 1 << max(4, n.bit_length() // 2)
+        counts = np.diff(ptr[side])
+        n = len(counts)
+        width = 1 << max(4, n.bit_length() // 2)
         places = np.full(-(-n // width) * width, gone)
         places[:n] = np.where(counts > 0, counts * n + np.arange(n), gone)
         place.append(places), least.append(places.reshape(-1, width).min(1)), live.append(int((counts > 0).sum())), size.append(n), block.append(width)
-        packed = np.ascontiguousarray(halves[:, ::-1]).view(np.int64).ravel()
-        del halves
     left = len(adj[0])
-    del packed
     while live[0] and live[1] and left < target * live[0] * live[1]:
         (nc, c), (nr, r) = (divmod(int(least[s].min()), size[s]) for s in range(2))
         s, k = (0, c) if nc * live[0] <= nr * live[1] else (1, r)
@@ -111,9 +153,13 @@ def _peel_pairs(packed: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarr
         np.minimum.at(least[o], near // block[o], now)
         for at in set((near[empty] // block[o]).tolist()):
             least[o][at] = place[o][at * block[o] : (at + 1) * block[o]].min()
-    cols = np.flatnonzero(place[0][: size[0]] != gone)
-    rows_of = [(x := adj[0][ptr[0][c] : ptr[0][c + 1]])[place[1][x] != gone] for c in cols]
-    return np.concatenate([np.zeros(0, np.int32), *rows_of]), np.repeat(cols, [len(x) for x in rows_of]).astype(np.int32)
+    end = 0
+    for c in np.flatnonzero(place[0][: size[0]] != gone):
+        x = adj[0][ptr[0][c] : ptr[0][c + 1]]
+        x = x[place[1][x] != gone]
+        adj[0][end : end + len(x)], adj[1][end : end + len(x)] = x, c  # never beyond what was read
+        end += len(x)
+    return adj[0][:end], adj[1][:end]
 
 
 def core(cells: DataFrame, min_obs: int = MIN_OBS) -> DataFrame:
