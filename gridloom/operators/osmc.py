@@ -92,13 +92,13 @@ def theta_frame(cells: DataFrame, v: np.ndarray, items: list) -> DataFrame:
 
 def full_completion(cells: DataFrame, rank: int, lam: float = 0.1, passes: int = 12) -> np.ndarray:
     """Baseline: the right factor of a regularised factor model, as an orthonormal basis."""
-    from gridloom.operators.impute import _right_sums, _rows_of
+    from gridloom.operators.impute import _blocks, _right_sums, _rows_of
 
     packed, _, _, items = _rows_of(cells)
-    packed = cut(packed, "completion-rows")
+    blocks = _blocks(cut(packed, "completion-rows"))
     b = np.random.default_rng(1).standard_normal((len(items), rank)) * 0.1
     for _ in range(passes):
-        normal, right = _right_sums(packed, b, lam)
+        normal, right = _right_sums(blocks, b, lam)
         b = np.linalg.solve(normal + lam * np.eye(rank), right[:, :, None])[:, :, 0]
     return np.linalg.qr(b)[0]
 
