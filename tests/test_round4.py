@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from gridloom.operators import holdout, impute
+from gridloom.plans import matrix
 
 
 def dense_softimpute(z, lam, rank, passes=3000):
@@ -74,3 +75,14 @@ def test_softimpute_at_one_lambda_equals_its_definition(spark, monkeypatch):
         assert np.allclose(got[empty], want[empty], atol=1e-3)
     got = as_matrix(impute.softimpute(cells, 3, 1e6), x.shape)
     assert np.allclose(got[empty], np.broadcast_to(np.nanmean(x, 0), x.shape)[empty])
+
+
+def test_mean_impute_shuffles_its_cells_once_and_emits_item_by_item(spark, data, monkeypatch):
+    """One evaluation of the join, whose lines go to their rows: no shuffle by cell or of a row's lists follows. Equal values are neighbours."""
+    plans, cut = [], impute.cut
+    monkeypatch.setattr(impute, "cut", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, tag))
+    got = matrix.mean_impute(spark, data)
+    assert len(plans) == 1 and plans[0].count("hashpartitioning(o_custkey") + plans[0].count("hashpartitioning(row_key") == 1
+    assert "orders" not in got._jdf.queryExecution().optimizedPlan().toString()
+    first = got.limit(5).toPandas()
+    assert first.col_key.nunique() == 1 and first.row_key.nunique() == 5
