@@ -86,3 +86,14 @@ def test_mean_impute_shuffles_its_cells_once_and_emits_item_by_item(spark, data,
     assert "orders" not in got._jdf.queryExecution().optimizedPlan().toString()
     first = got.limit(5).toPandas()
     assert first.col_key.nunique() == 1 and first.row_key.nunique() == 5
+
+
+def test_softimpute_settles_on_noise_in_few_passes(spark, monkeypatch):
+    """Singular values of noise lie close together; 14 passes when this was written."""
+    x = np.random.default_rng(8).standard_normal((200, 60))
+    i, j = np.where(np.random.default_rng(9).random(x.shape) < 0.3)
+    cells = spark.createDataFrame(pd.DataFrame({"row_key": i, "col_key": j, "value": x[i, j]}))
+    calls, run = [], impute._passes
+    monkeypatch.setattr(impute, "_passes", lambda *a: calls.append(1) or run(*a))
+    impute.softimpute(cells, 3, 9.0)
+    assert 2 < len(calls) < 30
